@@ -79,11 +79,12 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how:
     hot = groups.filter(F.col(size) * share > total)
     value = [c for c in groups.columns if c not in keys]
     first = rows.join(F.broadcast(hot.select(*keys, F.struct(*value).alias("__hot"))), keys, "left")
-    spread = F.xxhash64(*[c for c in rows.columns if dict(rows.dtypes)[c] not in ("void",) and not dict(rows.dtypes)[c].startswith("map")])
-    cold = groups.filter(F.col(size) * share <= total).select(F.struct(*keys).alias("__key"), F.struct(*value).alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
+    spread = F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")])
+    names = [f"__k{i}" for i in range(len(keys))]
+    cold = groups.filter(F.col(size) * share <= total).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.struct(*value).alias("__cold"), F.lit(0).cast("bigint").alias("__salt"))
     # a row that has its partner goes to any partition, under a salt that no cold key has
-    first = first.withColumns({"__key": F.struct(*keys), "__salt": F.when(F.col("__hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.when(spread == 0, 1).otherwise(spread))})
-    joined = first.join(cold, ["__key", "__salt"], "left")
+    first = first.withColumns({n: F.col(k) for k, n in zip(keys, names)} | {"__salt": F.when(F.col("__hot").isNull(), F.lit(0).cast("bigint")).when(spread == 0, 1).otherwise(spread)})
+    joined = first.join(cold, [*names, "__salt"], "left")
     one = F.coalesce("__hot", "__cold")
     if how == "inner":
         joined = joined.filter(one.isNotNull())
