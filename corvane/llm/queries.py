@@ -114,7 +114,7 @@ SQL = {
     "p2_found": _P2,
 }
 
-for _name in ("similar_queries", "text_queries", "match_queries"):
+for _name in ("similar_queries", "text_queries", "match_queries", "personal_queries"):
     if importlib.util.find_spec(f"corvane.llm.{_name}"):
         _m = importlib.import_module(f"corvane.llm.{_name}")
         QUERIES |= _m.QUERIES
