@@ -292,7 +292,11 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
     pairs = pairs.select(F.least("p", "q").alias("source_a"), F.greatest("p", "q").alias("source_b"), "jaccard")
     members = classed.select("source", "class_source", "copies")
     if large is not None:
-        near = keep(long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > t * heavy))
+        # partners of large sets: all that are as large as t times the smallest of these; of light classes only the first
+        own = long.join(large.select("source"), "source", "left_semi").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+        least = own.agg(F.min("size")).first()[0]
+        near = long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= math.floor(t * least))
+        near = keep(near.join(classed.filter("source <> class_source").select("source"), "source", "left_anti"))
         pairs = pairs.unionByName(heavy_pairs(long, near, t, scratch)).distinct()
         members = members.unionByName(large.select("source", F.col("source").alias("class_source"), F.lit(1).cast("bigint").alias("copies")))
     return keep(pairs), members

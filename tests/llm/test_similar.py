@@ -65,6 +65,12 @@ def test_many_copies_are_one_class(spark):
     assert {r["class_source"] for r in members.filter("copies > 1").collect()} == {"c000"}
 
 
+def test_large_by_repeated_rows_only(spark):
+    sets = {"a": {1, 2, 3}, "b": {1, 2, 3, 4}, "c": {1, 2, 3}}
+    extra = [("b", "1", "1", None, None)] * 40
+    assert joined(spark, sets, 0.6, extra, heavy=12)[0] == brute(sets, 0.6)
+
+
 def test_odd_rows(spark):
     assert joined(spark, {}, 0.6)[0] == set()
     extra = [(None, "1", "1", None, None), ("a", "1", "1", None, None), ("a", "1", "1", None, None), ("b", "1", "1", None, None)]
