@@ -44,7 +44,9 @@ def grammars() -> dict:
     dot = rf"(?:\.|{S}\.{S}|{S}?[\[(]{S}?dot{S}?[\])]{S}?|{S}dot{S})"
     at = rf"(?:{S}?@{S}?|{S}?[\[(]{S}?at{S}?[\])]{S}?|{S}at{S})"
     label = r"(?=[\p{N}-]*\p{L})[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
-    email = rf"(?<![\p{{L}}\p{{N}}._%+-])(?!mailto:)[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}._%+-]*[\p{{L}}\p{{N}}])?{at}{label}(?:{dot}{label})*{dot}\p{{L}}{{2,}}(?![\p{{L}}\p{{N}}])"
+    # signs that are rare come first, what stands left of them is read backwards
+    host = rf"{at}{label}(?:{dot}{label})*{dot}\p{{L}}{{2,}}(?![\p{{L}}\p{{N}}])"
+    local = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}])?$"
     hyphen = "[-‐‑–]"
     sep = rf"(?:{S}?/{S}?|{S}|[.]|{hyphen})"
     phone = rf"(?<![\p{{L}}\p{{N}}/.,_#|-])(?:\+\d{{1,3}}{sep}?|00\d{{2}}{sep})?(?:\(\d{{2,5}}\){S}?)?\d(?:{sep}?\d){{5,13}}(?:{S}?,?{S}?(?:x|ext\.?|extension|Durchwahl|poste){S}?\d{{1,5}})?(?![\p{{L}}\p{{N}}])"
@@ -53,19 +55,29 @@ def grammars() -> dict:
     flat = r"(?:Flat|Apt\.?|Unit|Suite)[ ]\d+\w?"
     en = rf"(?:{flat},[ ])?\d+\w?(?:[-–]\d+)?[ ](?:(?:North|South|East|West)[ ])?{street}[ ](?:(?:{'|'.join(STREETS_AFTER)})(?!\p{{L}})|(?:{'|'.join(STREETS_SHORT)})(?!\p{{L}})\.?)(?:,[ ]{flat})?(?:,[ ]{town}(?:[ ]\d{{5}}(?!\d))?)?"
     box = rf"(?:P\.?[ ]?O\.?[ ]Box|Postfach|Apartado|BP)[ ]\d+(?:,[ ](?:\d{{5}}[ ])?{town}(?:[ ]\d{{5}}(?!\d))?)?"
-    de = rf"(?:Am[ ]|An[ ]der[ ])?\p{{Lu}}[\p{{L}}'’-]*(?:{'|'.join(STREETS_END)})\.?[ ]\d+\w?(?:,[ ]\d{{5}}[ ]{town})?"
+    ending = rf"(?<=\p{{L}})(?:{'|'.join(STREETS_END)})\.?[ ]\d+\w?(?:,[ ]\d{{5}}[ ]{town})?".replace("[ ]", S)
+    stem = rf"(?<![\p{{L}}\p{{N}}])(?:(?:Am|An[ ]der)[ ])?\p{{L}}[\p{{L}}'’-]*$".replace("[ ]", S)
     es = rf"(?:C/|(?:{'|'.join(STREETS_ES)})\.?)[ ](?:de[ ](?:la[ ])?)?{street},?[ ]\d+\w?(?:,[ ]\d+\.?º[ ]?\w?)?(?:,[ ](?:\d{{5}}[ ])?{town})?"
     fr = rf"\d+(?:[ ](?:bis|ter))?,?[ ](?:{'|'.join(STREETS_FR)})[ ](?:de[ ](?:la[ ])?|du[ ]|des[ ])?{street}(?:,[ ](?:\d{{5}}[ ])?{town})?"
-    address = (rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((en, box, de, es, fr))})").replace("[ ]", S)
+    address = (rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((en, box, es, fr))})").replace("[ ]", S)
     # a word of a name in any case; which case it may have is settled by the whole
     one = r"\p{L}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)?"
-    first = rf"(?:{one}|\p{{L}}\.)"
-    particle = rf"(?:(?:{'|'.join(PARTICLES)}){S})"
-    forms = [form for n in (1, 2, 3) for given in (f"{S}".join([first] * n),) for form in (rf"{given}{S}{particle}?{one}", rf"{particle}?{one},{S}{given}")]
-    names = [regex.compile(rf"{f}(?![\p{{L}}\p{{N}}'’-])", regex.IGNORECASE) for f in forms]
-    start = regex.compile(r"(?<![\p{L}\p{N}.'’-])\p{L}")
+    particle = rf"(?:(?i:{'|'.join(PARTICLES)}){S})"
+
+    def names(letter: str) -> list:
+        """The forms of a name all words of which begin with such a letter, but for particles."""
+        word = rf"{letter}[\p{{L}}'’]+(?:-\p{{L}}[\p{{L}}'’]+)?"
+        first = rf"(?:{word}|{letter}\.)"
+        given = [S.join([first] * n) for n in (1, 2, 3)]
+        forms = [form for x in given for form in (rf"{x}{S}{particle}?{word}", rf"{particle}?{word},{S}{x}")]
+        return [regex.compile(rf"{f}(?![\p{{L}}\p{{N}}'’-])") for f in forms]
+
+    slots = "|".join(sorted(SLOT_WORDS))
+    # where a name may begin: at a capital, at a particle, or in lower case behind a sign or a word that often stands before names
+    begin = rf"(?<![\p{{L}}\p{{N}}.'’-])(?:\p{{Lu}}|(?={particle}\p{{L}}))"
+    behind = rf"(?:^|[:\"\n>|*.!?-]|(?<!\p{{L}})(?i:{slots})\.?{S})[  ]*\K(?<![\p{{L}}\p{{N}}.'’-])(?=\p{{Ll}})"
     case = regex.IGNORECASE
-    return {"email": regex.compile(email, case), "phone": regex.compile(phone, case), "id_number": regex.compile(number), "address": regex.compile(address, case), "names": names, "start": start, "token": regex.compile(r"\p{L}+|\d+|\n|[^\s\p{L}\d]"), "word": regex.compile(rf"(?:{one}|\p{{L}}\.)")}
+    return {"host": regex.compile(host, case), "local": regex.compile(local), "ending": regex.compile(ending, case), "stem": regex.compile(stem, case), "phone": regex.compile(phone, case), "id_number": regex.compile(number), "address": regex.compile(address, case), "upper": names(r"\p{Lu}"), "lower": names(r"\p{Ll}"), "start": regex.compile(begin), "behind": regex.compile(behind), "token": regex.compile(r"\p{L}+|\d+|\n|[^\s\p{L}\d]"), "word": regex.compile(rf"(?:{one}|\p{{L}}\.)")}
 
 
 def digits_as(text: str) -> str:
@@ -76,7 +88,7 @@ def name_case(words: list[str]) -> str | None:
     """How the words of a name are written: T (capitalised), U (all upper case), l (all lower case); None if mixed."""
     own = [w for w in words if w.lower() not in PARTICLES]
     long = [w for w in own if len(w) > 2 or not w.endswith(".")]
-    if not long or any(w.lower().rstrip(".") in SLOT_WORDS for w in own) or not all(w[0].isupper() for w in own) and not all(w[0].islower() for w in own):
+    if len(own) < 2 or words[-1].lower() in PARTICLES or not long or any(w.lower().rstrip(".") in SLOT_WORDS for w in own) or not all(w[0].isupper() for w in own) and not all(w[0].islower() for w in own):
         return None
     if own[0][0].islower():
         return "l" if all(w.islower() for w in words) else None
@@ -85,50 +97,35 @@ def name_case(words: list[str]) -> str | None:
     return "T" if all(not w.isupper() for w in long) else None
 
 
-OPENERS = {":", '"', "\n", ">", "|", "-", "*"}
-
-
 def spans(text: str, g: dict) -> Iterator[tuple[str, int, int, list[str], bool]]:
     """(kind, start, end, items, seed) of all that the grammars propose."""
-    for kind in ("email", "phone", "id_number", "address"):
-        for m in g[kind].finditer(text):
-            value = m[0]
-            if kind == "phone" and sum(c.isdigit() for c in value) < 8:
-                continue
-            shape = digits_as(value)
-            if kind == "address":
-                word = next((w for w in (*STREETS_AFTER, *STREETS_SHORT, *STREETS_ES, *STREETS_FR, *STREETS_END, "Box", "C/") if w.lower() in value.lower()), "")
-                yield kind, m.start(), m.end(), [f"street {word.lower()}"], True
-            elif kind == "email":
-                yield kind, m.start(), m.end(), ["@" if "@" in value else "at"], "@" in value
-            elif kind == "phone":
-                core = shape.lower().split("x")[0].split("e")[0].rstrip(" ,")
-                yield kind, m.start(), m.end(), [core], core[0] in "+(" or core.startswith("00")
-            else:
-                yield kind, m.start(), m.end(), [shape], any(c in "A/" for c in shape)
-    for at in g["start"].finditer(text):
-        begin = at.start()
-        if text[begin].islower() and not lower_slot(text, begin):
-            word = g["word"].match(text, begin)
-            if not word or word[0].lower() not in PARTICLES:
-                continue
-        for form in g["names"]:  # all readings that begin here
+    for m in g["host"].finditer(text):
+        if left := g["local"].search(text, max(0, m.start() - 64), m.start()):
+            yield "email", left.start(), m.end(), ["@" if "@" in m[0] else "at"], "@" in m[0]
+    for m in g["phone"].finditer(text):
+        if sum(c.isdigit() for c in m[0]) >= 8:
+            core = digits_as(m[0]).lower().split("x")[0].split("e")[0].rstrip(" ,")
+            yield "phone", m.start(), m.end(), [core], core[0] in "+("
+    for m in g["id_number"].finditer(text):
+        shape = digits_as(m[0])
+        yield "id_number", m.start(), m.end(), [shape], any(c in "A/" for c in shape)
+    streets = [(m.start(), m.end()) for m in g["address"].finditer(text)]
+    streets += [(left.start(), m.end()) for m in g["ending"].finditer(text) if (left := g["stem"].search(text, max(0, m.start() - 64), m.start()))]
+    for begin, end in streets:
+        value = text[begin:end].lower()
+        word = next((w for w in (*STREETS_AFTER, *STREETS_SHORT, *STREETS_ES, *STREETS_FR, *STREETS_END, "Box", "C/") if w.lower() in value), "")
+        yield "address", begin, end, [f"street {word.lower()}"], True
+    starts = {at.start(): g["upper"] for at in g["start"].finditer(text)}
+    for at in g["behind"].finditer(text):
+        starts[at.end()] = [*starts.get(at.end(), []), *g["lower"]]
+    for begin, forms in sorted(starts.items()):
+        for form in forms:  # all readings that begin here
             if m := form.match(text, begin):
                 words = [w[0] for w in g["word"].finditer(m[0])]
-                case = name_case(words)
-                if case in ("T", "U") or case == "l" and lower_slot(text, begin):
+                if name_case(words):
                     yield "name", begin, m.end(), [w.lower() for x in words if len(x) > 2 and x.lower() not in PARTICLES for w in x.split("-")], title_before(text, begin)
 
 
-def lower_slot(text: str, start: int) -> bool:
-    """Lower-case words are proposed as names only behind a sign or a word that often stands before names."""
-    left = text[max(0, start - 24) : start]
-    bare = left.rstrip("  ")
-    if not bare or bare[-1] in OPENERS or left.endswith("\n") or bare[-1] in ".!?":
-        return True
-    return bare.split()[-1].lower().rstrip(".") in SLOT_WORDS
-
-
 # Words that stand before a person.
 SLOT_WORDS = {*TITLES, "patient", "patientin", "paciente", "by", "for", "ansprechpartner", "von", "par", "por", "contact", "kontakt", "name", "reporter", "regards", "cordialement", "atentamente", "grüßen"}
 
