@@ -17,6 +17,21 @@ def check_budget(n: int, k: int, budget: int = BUDGET) -> int:
     return work
 
 
+def most_candidates(k: int, budget: int = BUDGET) -> int:
+    """The largest number of candidates whose sets of 1 to k fit the budget."""
+    n = 1
+    while sum(comb(n + 1, i) for i in range(1, min(k, n + 1) + 1)) <= budget:
+        n += 1
+    return n
+
+
+def bounded(candidates: DataFrame, k: int, budget: int = BUDGET) -> DataFrame:
+    """candidates as a small local table, computed once; raises if their sets exceed the budget."""
+    rows = candidates.limit(most_candidates(k, budget) + 1).collect() if k > 1 else candidates.limit(budget + 1).collect()
+    check_budget(len(rows), k, budget)
+    return candidates.sparkSession.createDataFrame(rows, candidates.schema)
+
+
 def with_mask(candidates: DataFrame, targets: list[str]) -> DataFrame:
     """candidates (pos, drug, disease_ids) with a bit for each target they cover."""
     mask = sum((F.when(F.array_contains("disease_ids", t), 1 << i).otherwise(0) for i, t in enumerate(targets)), F.lit(0))
@@ -25,7 +40,7 @@ def with_mask(candidates: DataFrame, targets: list[str]) -> DataFrame:
 
 def combinations(candidates: DataFrame, targets: list[str], k: int, budget: int = BUDGET) -> DataFrame:
     """(set_id, drugs, size, covered, mask) of every set of 1 to k candidates, members in order of retrieval."""
-    check_budget(candidates.count(), k, budget)
+    check_budget(candidates.count(), k, budget)  # a local table where it comes from bounded()
     one = with_mask(candidates, targets)
     level, every = one, one
     for _ in range(k - 1):

@@ -35,16 +35,25 @@ def named(edges: DataFrame, nodes: DataFrame, metaedges: tuple[str, ...]) -> Dat
     return edges.filter(F.col("metaedge").isin(*metaedges)).join(s, "source").join(t, "target")
 
 
-def targets_by_count(edges: DataFrame, nodes: DataFrame, n: int, least: int = 3) -> DataFrame:
+def treating(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(drug, drug_name, disease) of all treatments between nodes."""
+    return named(edges, nodes, ("ctd",)).select(F.col("source").alias("drug"), F.col("source_name").alias("drug_name"), F.col("target").alias("disease"))
+
+
+def targets_by_count(treating: DataFrame, n: int, least: int = 3) -> DataFrame:
     """The n diseases that the fewest compounds treat, of those that `least` treat: a request that grows with no table."""
-    return named(edges, nodes, ("ctd",)).groupBy(F.col("target").alias("disease")).agg(F.countDistinct("source").alias("k")).filter(F.col("k") >= least).orderBy("k", "disease").limit(n).select("disease")
+    return treating.groupBy("disease").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).orderBy("k", "disease").limit(n).select("disease")
+
+
+def treatments(treating: DataFrame, diseases: list[str]) -> DataFrame:
+    """Compounds that treat any of the diseases: (drug, drug_name, disease_ids, covered)."""
+    t = treating.filter(F.col("disease").isin(*diseases)) if diseases else treating.limit(0)
+    return t.groupBy("drug").agg(F.min("drug_name").alias("drug_name"), F.array_sort(F.collect_set("disease")).alias("disease_ids")).withColumn("covered", F.size("disease_ids"))
 
 
-def treatments(edges: DataFrame, nodes: DataFrame, diseases: DataFrame) -> DataFrame:
-    """Compounds that treat any of the diseases, most diseases first: (pos, drug, drug_name, disease_ids, covered)."""
-    t = named(edges, nodes, ("ctd",)).join(F.broadcast(diseases.withColumnRenamed("disease", "target")), "target")
-    g = t.groupBy(F.col("source").alias("drug")).agg(F.min("source_name").alias("drug_name"), F.array_sort(F.collect_set("target")).alias("disease_ids")).withColumn("covered", F.size("disease_ids"))
-    return g.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("covered"), F.col("drug_name").asc_nulls_last(), "drug")))
+def in_order(treatments: DataFrame) -> DataFrame:
+    """treatments with pos, their place: most diseases first, then by name and id."""
+    return treatments.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("covered"), F.col("drug_name").asc_nulls_last(), "drug")))
 
 
 def top_related(edges: DataFrame, nodes: DataFrame, metaedges: tuple[str, ...], n: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.operators import candidates as C, graph as G
+from corvane.session import Scratch
 from corvane.sources import graph as S
 
 TERM, REQUEST = "an", ["asthma", "Disease::DOID:990003", "no such disease", "GOUT", "disease::doid:990003"]
@@ -38,15 +39,21 @@ _SETS = f"""{_CAND}, sets AS (
 _TOP = f"{_SETS}, top AS (SELECT *, row_number() OVER (ORDER BY covered DESC, size, set_id) AS rank FROM sets QUALIFY rank <= 100)"
 
 
-def two_targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    n, e = both(spark, d)
-    t = G.targets_by_count(e, n, 2)
-    return n, e, t, sorted(r["disease"] for r in t.collect())  # two rows
+def two_targets(spark: SparkSession, d: str, n: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(nodes, edges, treatments as a written table, the diseases that the fewest compounds treat)."""
+    v, e = both(spark, d)
+    t = Scratch(spark).keep(G.treating(e, v))
+    return v, e, t, sorted(r["disease"] for r in G.targets_by_count(t, n).collect())  # n rows
+
+
+def retrieved(t: DataFrame, names: list[str], k: int) -> DataFrame:
+    """The candidates in order; their number is checked before they are numbered."""
+    return G.in_order(C.bounded(G.treatments(t, names), k))
 
 
 def pair_sets(spark: SparkSession, d: str, k: int = 2) -> tuple[DataFrame, DataFrame, list[str], DataFrame, DataFrame]:
     n, e, t, names = two_targets(spark, d)
-    cand = G.treatments(e, n, t)
+    cand = retrieved(t, names, k)
     return C.combinations(cand, names, k), cand, names, n, e
 
 
@@ -84,8 +91,8 @@ def treatments_for_disease(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f", {_CAND} SELECT pos, drug, drug_name, disease_ids, covered FROM cpos")
 def treatments_for_set(spark: SparkSession, d: str) -> DataFrame:
-    n, e, t, _ = two_targets(spark, d)
-    return G.treatments(e, n, t).withColumn("disease_ids", F.array_join("disease_ids", ";"))
+    _, _, t, names = two_targets(spark, d)
+    return G.in_order(G.treatments(t, names)).withColumn("disease_ids", F.array_join("disease_ids", ";"))
 
 
 def _top(metaedges: str) -> str:
@@ -130,8 +137,8 @@ def metaedge_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f""", {_TARGETS}, seeds AS (SELECT DISTINCT source AS id FROM edges WHERE metaedge = 'ctd' AND target IN (SELECT disease FROM tgt))
 SELECT source, metaedge, target FROM edges WHERE source IN (SELECT id FROM seeds) OR target IN (SELECT id FROM seeds)""")
 def fragment_extract(spark: SparkSession, d: str) -> DataFrame:
-    _, e, t, _ = two_targets(spark, d)
-    seeds = e.filter("metaedge = 'ctd'").join(F.broadcast(t), F.col("target") == F.col("disease"), "left_semi").select(F.col("source").alias("id")).distinct()
+    _, e, _, names = two_targets(spark, d)
+    seeds = e.filter((F.col("metaedge") == "ctd") & F.col("target").isin(*names)).select(F.col("source").alias("id")).distinct()
     return G.incident(e, seeds)
 
 
@@ -167,8 +174,8 @@ def disease_to_drugs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f", {_CAND} SELECT drug, covered, round(CAST(covered AS DOUBLE) / greatest(1, (SELECT count(*) FROM tgt)), 6) AS coverage FROM cpos")
 def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
-    n, e, t, names = two_targets(spark, d)
-    return G.treatments(e, n, t).select("drug", "covered", F.round(F.col("covered") / max(1, len(names)), 6).alias("coverage"))
+    _, _, t, names = two_targets(spark, d)
+    return G.treatments(t, names).select("drug", "covered", F.round(F.col("covered") / max(1, len(names)), 6).alias("coverage"))
 
 
 @query(f", {_SETS} SELECT set_id, drugs, size, covered FROM sets")
@@ -184,9 +191,8 @@ c AS (SELECT source AS drug, row_number() OVER (ORDER BY min(source_name) NULLS
 UNION ALL SELECT 'candidate-set:' || a.drug || '+' || b.drug || '+' || x.drug, 3 FROM c a JOIN c b ON a.pos < b.pos JOIN c x ON b.pos < x.pos""")
 def combinations_k3(spark: SparkSession, d: str) -> DataFrame:
     """Of the disease that the fewest compounds treat; raises where these are too many for the budget."""
-    n, e = both(spark, d)
-    t = G.targets_by_count(e, n, 1)
-    return C.combinations(G.treatments(e, n, t), [r["disease"] for r in t.collect()], 3).select("set_id", "size")
+    _, _, t, names = two_targets(spark, d, 1)
+    return C.combinations(retrieved(t, names, 3), names, 3).select("set_id", "size")
 
 
 @query(f", {_TOP} SELECT set_id, drugs, size, covered FROM top")
@@ -302,9 +308,8 @@ def _few(cand: DataFrame) -> list[tuple[str, set[str]]]:
 
 @query()
 def greedy_drug_cover(spark: SparkSession, d: str) -> DataFrame:
-    n, e, t, names = two_targets(spark, d)
-    cand = G.treatments(e, n, t)
-    C.check_budget(cand.count(), 1)
+    _, _, t, names = two_targets(spark, d)
+    cand = retrieved(t, names, 1)
     return spark.createDataFrame([(i, x) for i, x in enumerate(C.greedy_cover(_few(cand), names))], "step int, drug string")
 
 
