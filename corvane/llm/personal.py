@@ -51,7 +51,7 @@ def grammars() -> dict:
     sep = rf"(?:{S}?/{S}?|{S}|[.]|{hyphen})"
     phone = rf"(?<![\p{{L}}\p{{N}}/.,_#|-])(?:\+\d{{1,3}}{sep}?|00\d{{2}}{sep})?(?:\(\d{{2,5}}\){S}?)?\d(?:{sep}?\d){{5,13}}(?:{S}?,?{S}?(?:x|ext\.?|extension|Durchwahl|poste){S}?\d{{1,5}})?(?![\p{{L}}\p{{N}}])"
     number = rf"(?<![\p{{L}}\p{{N}}/.,_#+-])(?:\p{{Lu}}{{2}}(?:{S}?\d\d){{3}}{S}?\p{{Lu}}|\p{{Lu}}{hyphen}?\d{{7,8}}(?:{hyphen}?\p{{Lu}})?|\d{{8}}{hyphen}?\p{{Lu}}|\d{{2,4}}/\d{{3}}/\d{{4,5}}|\d{{3}}{sep}\d{{2}}{sep}\d{{4}}|\d{{9}})(?![\p{{L}}\p{{N}}])"
-    street, town = r"\p{Lu}[\p{L}'’-]+", r"\p{Lu}[\p{L}'’-]+(?:[ -]\p{Lu}[\p{L}'’-]+)*"
+    street, town = r"\p{Lu}[\p{L}'’-]+", r"\p{Lu}[\p{L}'’-]+"  # one word: the next may begin a sentence
     flat = r"(?:Flat|Apt\.?|Unit|Suite)[ ]\d+\w?"
     en = rf"(?:{flat},[ ])?\d+\w?(?:[-–]\d+)?[ ](?:(?:North|South|East|West)[ ])?{street}[ ](?:(?:{'|'.join(STREETS_AFTER)})(?!\p{{L}})|(?:{'|'.join(STREETS_SHORT)})(?!\p{{L}})\.?)(?:,[ ]{flat})?(?:,[ ]{town}(?:[ ]\d{{5}}(?!\d))?)?"
     box = rf"(?:P\.?[ ]?O\.?[ ]Box|Postfach|Apartado|BP)[ ]\d+(?:,[ ](?:\d{{5}}[ ])?{town}(?:[ ]\d{{5}}(?!\d))?)?"
