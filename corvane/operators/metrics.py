@@ -18,10 +18,12 @@ def per_class(rows: DataFrame, classes: list[str]) -> DataFrame:
     """(class, precision, recall, f1, support); a metric without a denominator is zero."""
     cells = rows.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
     grid = rows.sparkSession.createDataFrame([(c,) for c in classes], "class string")
-    sums = grid.join(F.broadcast(cells), (F.col("class") == F.col("truth")) | (F.col("class") == F.col("predicted")), "left").groupBy("class").agg(
-        F.sum(F.when((F.col("truth") == F.col("class")) & (F.col("predicted") == F.col("class")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("predicted") == F.col("class"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("truth") == F.col("class"), F.col("n")).otherwise(0)).alias("support"),
-    )  # fmt: skip  # cells are at most classes squared
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    # a cell counts for its true class and for its predicted one
+    mine = F.struct(F.col("truth").alias("class"), F.when(F.col("truth") == F.col("predicted"), n).otherwise(none).alias("tp"), none.alias("p"), n.alias("support"))
+    theirs = F.struct(F.col("predicted").alias("class"), none.alias("tp"), n.alias("p"), none.alias("support"))
+    sums = cells.select(F.explode(F.array(mine, theirs)).alias("x")).groupBy("x.class").agg(*[F.sum(f"x.{c}").alias(c) for c in ("tp", "p", "support")])
+    sums = grid.join(sums, "class", "left").fillna(0)
     precision, recall = F.coalesce(F.col("tp") / F.nullif("p", F.lit(0)), F.lit(0.0)), F.coalesce(F.col("tp") / F.nullif("support", F.lit(0)), F.lit(0.0))
     f1 = F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("p") + F.col("support"), F.lit(0)), F.lit(0.0))
     return sums.select("class", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support", "tp")

@@ -86,8 +86,9 @@ def pair_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_PAIRS}, g AS (SELECT pair_id, count(*) AS n, count(DISTINCT turned) AS o, count(DISTINCT level) AS l FROM pairs GROUP BY pair_id)
 SELECT (SELECT count(*) FROM r) AS rows, CAST(sum(n) AS BIGINT) AS sound, count(*) AS pairs, count(CASE WHEN o > 1 THEN 1 END) AS both_orders, count(CASE WHEN l > 1 THEN 1 END) AS conflicts FROM g""")
 def pair_audit(spark: SparkSession, d: str) -> DataFrame:
-    one = P.pair_facts(pairs(spark, d)).agg(F.sum("rows").alias("sound"), F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("orders") > 1, 1)).alias("both_orders"), F.count(F.when(F.col("labels") > 1, 1)).alias("conflicts"))
-    return one.crossJoin(raw(spark, d).agg(F.count(F.lit(1)).alias("rows")))  # one row by one row
+    x = P.pair_facts(pairs(spark, d)).select("rows", "orders", "labels", F.lit(0).cast("bigint").alias("raw"))
+    every = raw(spark, d).agg(F.count(F.lit(1)).alias("raw")).select(*[F.lit(None).cast("bigint").alias(c) for c in ("rows", "orders", "labels")], "raw")
+    return x.unionByName(every).agg(F.sum("raw").alias("rows"), F.sum("rows").alias("sound"), F.count("rows").alias("pairs"), F.count(F.when(F.col("orders") > 1, 1)).alias("both_orders"), F.count(F.when(F.col("labels") > 1, 1)).alias("conflicts"))
 
 
 @query(f"{_PAIRS} SELECT level, count(*) AS n FROM pairs GROUP BY level")
@@ -359,8 +360,12 @@ def dataset_profile(spark: SparkSession, d: str) -> DataFrame:
     s = severity(spark, d)
     share = lambda c, v: F.round(100.0 * F.count(F.when(F.col(c) == v, 1)) / F.count(F.lit(1)), 3)
     one = s.agg(F.count(F.lit(1)).alias("rows"), share("pair_mapping_coverage", "both_mapped").alias("both_mapped_pct"), share("pair_structure_coverage", "both_structured").alias("both_structured_pct"))
-    many = lambda cols, name: s.select(F.explode(F.array(*cols)).alias("x")).filter("x is not null").distinct().agg(F.count(F.lit(1)).alias(name))
-    return one.crossJoin(many(["pair_id"], "pairs")).crossJoin(many(["load_id"], "loads")).crossJoin(many(["drug_a_ddinter_id", "drug_b_ddinter_id"], "drugs"))  # single rows
+    many = lambda cols, name: s.select(F.explode(F.array(*[F.col(c).cast("string") for c in cols])).alias("x")).filter("x is not null").distinct().agg(F.count(F.lit(1)).alias(name))
+    parts = [one, many(["pair_id"], "pairs"), many(["load_id"], "loads"), many(["drug_a_ddinter_id", "drug_b_ddinter_id"], "drugs")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 # --- metrics ------------------------------------------------------------------------------------------------------------
@@ -445,8 +450,8 @@ _MED = f"(SELECT quantile_cont({_MW}, 0.5) FROM ddinter_severity_dataset)"
 def imputed(spark: SparkSession, d: str) -> DataFrame:
     s = severity(spark, d).select("row_id", F.when(~F.isnan("molecular_weight_mean"), F.col("molecular_weight_mean")).alias("v"))
     h = s.filter("v is not null").groupBy(F.lit(0).alias("k"), F.col("v").alias("num")).agg(F.count(F.lit(1)).alias("n"))
-    m = X.exact_quantiles(h, ["k"], {"median": 0.5}).select("median")
-    return s.join(F.broadcast(m)).select("row_id", F.coalesce("v", "median").alias("v"))  # one row
+    m = X.exact_quantiles(h, ["k"], {"median": 0.5}).first()  # one row
+    return s.select("row_id", F.coalesce("v", F.lit(m["median"] if m else None).cast("double")).alias("v"))
 
 
 @query(f"SELECT row_id, coalesce({_MW}, {_MED}) AS v FROM ddinter_severity_dataset")
@@ -457,8 +462,9 @@ def median_impute(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH i AS (SELECT row_id, coalesce({_MW}, {_MED}) AS v FROM ddinter_severity_dataset) SELECT row_id, round((v - (SELECT avg(v) FROM i)) / (SELECT stddev_pop(v) FROM i), 6) AS z FROM i")
 def zscore(spark: SparkSession, d: str) -> DataFrame:
     i = imputed(spark, d)
-    one = i.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return i.join(F.broadcast(one)).select("row_id", F.round((F.col("v") - F.col("m")) / F.col("s"), 6).alias("z"))  # one row
+    one = i.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
+    lit = lambda x: F.lit(x).cast("double")
+    return i.select("row_id", F.round((F.col("v") - lit(one["m"])) / F.nullif(lit(one["s"]), F.lit(0.0)), 6).alias("z"))
 
 
 @query("SELECT ddi_severity, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM ddinter_severity_dataset), 2) AS pct FROM ddinter_severity_dataset GROUP BY ddi_severity")
