@@ -13,7 +13,7 @@ Sets whose segments can't add up to H + 1 probe by their H + 1 rarest values ins
 are salted. Equal sets are one class, joined once. Sets of more than HEAVY values never stand in one row: they
 go through the same pigeonhole by grouping, in a join of their own. Nothing is capped.
 
-Null and repeated values are ignored, and so are records without a value. An empty table gives no pairs. Values are
+Rows with a null in their source or value and repeated rows are ignored, and so are records without a value. An empty table gives no pairs. Values are
 64-bit hashes, which are checked for collisions over the whole universe and salted anew if there are any.
 """
 
@@ -266,7 +266,8 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
     """
     scratch = Scratch(rows.sparkSession)
     keep = scratch.keep
-    rows = rows.filter(F.col(source).isNotNull())
+    for c in (source, *values):
+        rows = rows.filter(F.col(c).isNotNull())
     sets, long, large, total = value_sets(rows, source, values, scratch, heavy)
     print_of = lambda x: F.xxhash64(F.lit(x), F.size("hs"), F.sort_array("hs"))
     sets = keep(sets.withColumns({"f1": print_of("a"), "f2": print_of("b")}))

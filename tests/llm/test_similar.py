@@ -73,7 +73,7 @@ def test_large_by_repeated_rows_only(spark):
 
 def test_odd_rows(spark):
     assert joined(spark, {}, 0.6)[0] == set()
-    extra = [(None, "1", "1", None, None), ("a", "1", "1", None, None), ("a", "1", "1", None, None), ("b", "1", "1", None, None)]
+    extra = [(None, "1", "1", None, None), ("a", "1", "1", None, None), ("a", "1", "1", None, None), ("b", "1", "1", None, None), ("b", None, "2", None, None), ("q", "2", None, None, None)]
     assert joined(spark, {"z": {7}}, 0.6, extra)[0] == {("a", "b")}
 
 
