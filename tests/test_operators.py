@@ -264,3 +264,18 @@ def test_stream_of_windows(spark, data, tmp_path):
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("requests")).first()[0] == events.count()
     assert spark.table("w").count() == window_counts(events, "1 day", 6).count()
+
+
+def test_fetch_by_name(spark):
+    from corvane.sources.remote import fetch, lookup_path
+
+    def ask(name):
+        if name == "down":
+            raise OSError("no route")
+        return {"ok": (200, [{"CID": 1}]), "none": (404, []), "busy": (503, [])}[name]
+
+    drugs = spark.createDataFrame([(n, None if n == "null" else n) for n in ("ok", "none", "busy", "down", "null")], "ddinter_id string, ddinter_name string")
+    got = {r["ddinter_id"]: r for r in fetch(drugs, ask, 2, 0.0, 2, lambda s: None).collect()}
+    assert {k: r["http_status"] for k, r in got.items()} == {"ok": 200, "none": 404, "busy": 503, "down": 0, "null": 404}
+    assert json.loads(got["ok"]["properties"]) == [{"CID": 1}] and "no route" in got["down"]["error"]
+    assert drugs.limit(1).select(lookup_path(F.lit("a b/c"))).first()[0] == "a%20b%2Fc"
