@@ -127,7 +127,7 @@ def spans(text: str, g: dict) -> Iterator[tuple[str, int, int, list[str], bool]]
 
 
 # Words that stand before a person.
-SLOT_WORDS = {*TITLES, "patient", "patientin", "paciente", "by", "for", "ansprechpartner", "von", "par", "por", "contact", "kontakt", "name", "reporter", "regards", "cordialement", "atentamente", "grüßen"}
+SLOT_WORDS = {*TITLES, "de", "patient", "patientin", "paciente", "by", "for", "ansprechpartner", "von", "par", "por", "contact", "kontakt", "name", "reporter", "regards", "cordialement", "atentamente", "grüßen"}
 
 
 def title_before(text: str, start: int) -> bool:
