@@ -59,6 +59,13 @@ def search_term(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(column(c))), "[-_]+", " "), r"\s+", " "))
 
 
+def compound_id(c: Column | str) -> Column:
+    """An id of a compound in any case, with or without its prefix, as Compound::DB and digits; others trimmed, in lower case."""
+    t = trimmed(c)
+    digits = F.regexp_extract(t, r"(?i)^(?:compound::)?DB(\d{5,})\z", 1)
+    return F.when(digits != "", F.concat(F.lit("Compound::DB"), digits)).otherwise(F.lower(t))
+
+
 def mask(c: Column | str) -> Column:
     """The character classes of a value: A, a, 9 for runs of upper case, lower case and digits; other signs as they are."""
     out = column(c)

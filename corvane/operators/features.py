@@ -67,3 +67,24 @@ def exact_quantiles(histogram: DataFrame, keys: list[str], probabilities: dict[s
         low, high = (F.min(F.when(F.col("upto") > f(at), F.col("num"))) for f in (F.floor, F.ceil))
         parts.append((low + (high - low) * F.first(at - F.floor(at))).alias(name))
     return h.groupBy(*keys).agg(*parts)
+
+
+def one_hot(df: DataFrame, key: str, column: str, most: int = 1000, values: list[str] | None = None) -> DataFrame:
+    """(key, a column is_<value> for each value): nulls count as the most frequent value, of equal ones the first.
+
+    Raises beyond `most` values, so that the width of the result has a bound. values: a closed list instead of those found.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    if not counts:
+        return df.select(key)
+    value = F.coalesce(column, F.lit(counts[0][column]))
+    return df.select(key, *[(value == v).cast("int").alias(f"is_{v}") for v in values or sorted(r[column] for r in counts)])
+
+
+def off_domain(df: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, infinite, missing) counts: what a model refuses or fills."""
+    cell = lambda c: F.struct(F.lit(c).alias("feature"), (F.abs(c) == float("inf")).alias("infinite"), (F.col(c).isNull() | F.isnan(c)).alias("missing"))
+    x = df.select(F.explode(F.array(*[cell(c) for c in names])).alias("x"))
+    return x.groupBy("x.feature").agg(F.count(F.when(F.col("x.infinite"), 1)).alias("infinite"), F.count(F.when(F.col("x.missing"), 1)).alias("missing"))

@@ -17,6 +17,14 @@ def search(nodes: DataFrame, kind: str, term: str, limit: int = 25) -> DataFrame
     return nodes.filter((F.col("kind") == kind) & F.coalesce(hit, F.lit(False))).select("id", "name", rank.alias("relevance")).orderBy("relevance", "name", "id").limit(limit)
 
 
+def request(terms: list[object], most: int = 10, longest: int = 200) -> list[str]:
+    """Terms of a request, trimmed, without blanks and repeats, in order; raises if there are none, too many or too long ones."""
+    out = list(dict.fromkeys(t.strip() for t in terms if isinstance(t, str) and t.strip()))
+    if not 1 <= len(out) <= most or any(len(t) > longest for t in out):
+        raise ValueError(f"1 to {most} terms of at most {longest} signs are needed")
+    return out
+
+
 def resolve(terms: DataFrame, catalog: DataFrame) -> DataFrame:
     """(pos, term, id, name) of requests (pos, term): by id, else by name, in any case; the first request of each id is kept,
     unknown ones have a null id. Of several nodes of a name the first id counts."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions.names import normal_name
-from corvane.functions.text import filled, folded
+from corvane.functions.text import ATC, filled, folded
 from corvane.operators import features as X, metrics as M, pairs as P
 from corvane.quality import profile as R
 from corvane.sources import graph as S
@@ -559,4 +559,22 @@ def request_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return window_counts(table(spark, d, "events"), "1 day", 6).withColumnRenamed("start", "day")
 
 
+@query("SELECT row_id, " + ", ".join(f"CAST(coalesce(atc_category, (SELECT atc_category FROM ddinter_severity_dataset WHERE atc_category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) = '{a}' AS INT) AS is_{a}" for a in "ABCDGHJLMNPRSV") + " FROM ddinter_severity_dataset")
+def one_hot_category(spark: SparkSession, d: str) -> DataFrame:
+    """The ATC letter of each row as indicators."""
+    return X.one_hot(severity(spark, d), "row_id", "atc_category", values=list(ATC))
+
+
+@query(f"SELECT feature, count(CASE WHEN abs(w) = CAST('inf' AS DOUBLE) THEN 1 END) AS infinite, count(CASE WHEN w IS NULL OR isnan(w) THEN 1 END) AS missing FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS w FROM ddinter_severity_dataset" for c in FEATURES)}) GROUP BY feature")
+def feature_domains(spark: SparkSession, d: str) -> DataFrame:
+    return X.off_domain(severity(spark, d), FEATURES)
+
+
+@query(rf"SELECT DISTINCT {_t('source')} AS raw, CASE WHEN regexp_matches({_t('source')}, '(?i)^(compound::)?DB[0-9]{{5,}}$') THEN 'Compound::DB' || regexp_extract({_t('source')}, '([0-9]{{5,}})$', 1) ELSE lower({_t('source')}) END AS id FROM fragment_edges WHERE {_t('source')} IS NOT NULL")
+def compound_ids(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.functions.text import compound_id
+
+    return table(spark, d, "fragment_edges").select(filled("source").alias("raw")).filter("raw is not null").distinct().withColumn("id", compound_id("raw"))
+
+
 QUERIES = Q

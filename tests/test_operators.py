@@ -279,3 +279,18 @@ def test_fetch_by_name(spark):
     assert {k: r["http_status"] for k, r in got.items()} == {"ok": 200, "none": 404, "busy": 503, "down": 0, "null": 404}
     assert json.loads(got["ok"]["properties"]) == [{"CID": 1}] and "no route" in got["down"]["error"]
     assert drugs.limit(1).select(lookup_path(F.lit("a b/c"))).first()[0] == "a%20b%2Fc"
+
+
+def test_request():
+    assert G.request([" a ", "", None, "b", "a"]) == ["a", "b"]
+    for bad in ([], [" "], [str(i) for i in range(11)], ["x" * 201]):
+        with pytest.raises(ValueError):
+            G.request(bad)
+
+
+def test_one_hot(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "a")], "id int, c string")
+    assert [tuple(r) for r in X.one_hot(df, "id", "c").orderBy("id").collect()] == [(1, 0, 1), (2, 1, 0), (3, 1, 0), (4, 1, 0)]
+    assert X.one_hot(df.limit(0), "id", "c").columns == ["id"]
+    with pytest.raises(ValueError):
+        X.one_hot(df, "id", "c", 1)
