@@ -10,30 +10,36 @@ from corvane.functions.ordered import running_sum
 ROLES = {"ctd": "treated_disease", "cpd": "palliated_disease", "cbg": "bound_gene", "cug": "upregulated_gene", "cdg": "downregulated_gene", "ccse": "side_effect"}
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(compound, role, neighbour), distinct: classes point at compounds, likeness holds both ways."""
-    role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("metaedge"))
-    out = edges.filter(F.col("metaedge").isin(*ROLES)).select(F.col("source").alias("compound"), role.alias("role"), F.col("target").alias("neighbour"))
-    turned = lambda m, r: edges.filter(F.col("metaedge") == m).select(F.col("target").alias("compound"), F.lit(r).alias("role"), F.col("source").alias("neighbour"))
-    like = edges.filter("metaedge = 'crc'").select(F.col("source").alias("compound"), F.lit("resemblance").alias("role"), F.col("target").alias("neighbour"))
-    every = out.unionByName(turned("pcic", "pharmacologic_class")).unionByName(turned("crc", "resemblance")).unionByName(like)
-    return every.filter("startswith(compound, 'Compound::')").distinct()
+COUNTS = ["treated_disease", "palliated_disease", "bound_gene", "upregulated_gene", "downregulated_gene", "side_effect", "pharmacologic_class", "resemblance"]
+BIT = {r: 1 << i for i, r in enumerate(COUNTS)}
 
 
-COUNTS = ["treated_disease", "palliated_disease", "bound_gene", "upregulated_gene", "downregulated_gene", "side_effect", "pharmacologic_class", "resemblance"]
+def ends(edges: DataFrame) -> DataFrame:
+    """(compound, neighbour, bits): every edge from each of its compounds, with the bit of the set that it puts the other end
+    into, 0 for none; in one pass over the edges. Classes point at compounds, likeness holds both ways, a loop is one end."""
+    m = F.col("metaedge")
+    out = {k: BIT[r] for k, r in ROLES.items()} | {"crc": BIT["resemblance"]}
+    back = {"pcic": BIT["pharmacologic_class"], "crc": BIT["resemblance"]}
+    bit = lambda d: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), m), F.lit(0))
+    one = F.struct(F.col("source").alias("compound"), F.col("target").alias("neighbour"), bit(out).alias("bits"))
+    two = F.struct(F.col("target").alias("compound"), F.col("source").alias("neighbour"), bit(back).alias("bits"))
+    loop = F.struct(F.col("source").alias("compound"), F.col("target").alias("neighbour"), bit(out).bitwiseOR(bit(back)).alias("bits"))
+    both = F.when(F.col("source") == F.col("target"), F.array(loop)).otherwise(F.array(one, two))
+    return edges.select(F.explode(both).alias("x")).select("x.*").filter("startswith(compound, 'Compound::')")
+
+
+def neighbours(edges: DataFrame, role: str) -> DataFrame:
+    """(compound, neighbour), distinct, of one set family."""
+    return ends(edges).filter(F.col("bits").bitwiseAND(F.lit(BIT[role])) != 0).select("compound", "neighbour").distinct()
 
 
 def compound_features(all_edges: DataFrame) -> DataFrame:
     """One row per compound: sizes of its sets, of their unions, and its degree, in which repeated rows count."""
-    near = neighbours(all_edges.distinct())
-    gene, disease = F.endswith("role", F.lit("_gene")), F.endswith("role", F.lit("_disease"))
-    sizes = near.groupBy("compound").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(r) for r in COUNTS])
-    family = F.when(gene, "gene").when(disease, "disease")
-    unions = near.withColumn("family", family).filter("family is not null").select("compound", "family", "neighbour").distinct().groupBy("compound").agg(F.count(F.when(F.col("family") == "gene", 1)).alias("gene"), F.count(F.when(F.col("family") == "disease", 1)).alias("disease"))
-    ends = F.when(F.col("source") == F.col("target"), F.array("source")).otherwise(F.array("source", "target"))
-    degree = all_edges.select(F.explode(ends).alias("compound")).filter("startswith(compound, 'Compound::')").groupBy("compound").agg(F.count(F.lit(1)).alias("degree"))
-    got = degree.join(sizes, "compound", "left").join(unions, "compound", "left")
-    return got.fillna(0)
+    near = ends(all_edges).groupBy("compound", "neighbour").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("rows"))
+    has = lambda roles: F.count_if(F.col("bits").bitwiseAND(F.lit(sum(BIT[r] for r in roles))) != 0)
+    sizes = [has([r]).alias(r) for r in COUNTS]
+    gene, disease = ([r for r in COUNTS if r.endswith(f"_{k}")] for k in ("gene", "disease"))
+    return near.groupBy("compound").agg(F.sum("rows").alias("degree"), *sizes, has(gene).alias("gene"), has(disease).alias("disease"))
 
 
 def pair_scalars(pairs: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
@@ -47,9 +53,8 @@ def pair_scalars(pairs: DataFrame, features: DataFrame, names: list[str]) -> Dat
     return got.select("a", "b", *out)
 
 
-def pair_sets(pairs: DataFrame, near: DataFrame, role: str) -> DataFrame:
-    """pairs (a, b) with intersection, union and Jaccard of one set family; equal empty sets have a Jaccard of 0."""
-    sets = near.filter(F.col("role") == role).select("compound", "neighbour")
+def pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with intersection, union and Jaccard of sets (compound, neighbour); two empty sets have a Jaccard of 0."""
     size = sets.groupBy("compound").agg(F.count(F.lit(1)).alias("n"))
     common = pairs.join(sets.withColumnRenamed("compound", "a"), "a").join(sets.withColumnRenamed("compound", "b"), ["b", "neighbour"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     got = pairs.join(common, ["a", "b"], "left").join(size.select(F.col("compound").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("compound").alias("b"), F.col("n").alias("nb")), "b", "left").fillna(0, ["common", "na", "nb"])

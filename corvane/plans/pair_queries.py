@@ -230,7 +230,7 @@ c AS (SELECT a, b, count(*) AS c FROM pp JOIN g x ON x.compound = a JOIN g y ON
 u AS (SELECT pp.a, pp.b, coalesce(c, 0) AS i, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(c, 0) AS u FROM pp LEFT JOIN c ON c.a = pp.a AND c.b = pp.b LEFT JOIN s x ON x.compound = pp.a LEFT JOIN s y ON y.compound = pp.b)
 SELECT a, b, i AS intersection_count, u AS union_count, CASE WHEN u = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / u END AS jaccard FROM u""")
 def pair_graph_sets(spark: SparkSession, d: str) -> DataFrame:
-    return X.pair_sets(graph_pairs(spark, d), X.neighbours(S.edges(spark, d)), "side_effect")
+    return X.pair_sets(graph_pairs(spark, d), X.neighbours(S.all_edges(spark, d), "side_effect"))
 
 
 _W = "w AS (SELECT cid, CASE WHEN isnan(molecular_weight) THEN NULL ELSE molecular_weight END AS m FROM pubchem_compounds)"

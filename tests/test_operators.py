@@ -122,7 +122,7 @@ def test_compound_features(spark):
     assert (one["degree"], one["bound_gene"], one["gene"], one["resemblance"]) == (5, 1, 1, 2)  # a loop counts once, a repeated row twice
     assert (two["degree"], two["pharmacologic_class"], two["resemblance"]) == (3, 1, 1)
     p = spark.createDataFrame([("Compound::1", "Compound::2"), ("Compound::2", "Compound::9")], "a string, b string")
-    s = {r["b"]: r for r in X.pair_sets(p, X.neighbours(e.distinct()), "bound_gene").collect()}
+    s = {r["b"]: r for r in X.pair_sets(p, X.neighbours(e, "bound_gene")).collect()}
     assert s["Compound::2"]["jaccard"] == 1.0 and s["Compound::9"]["jaccard"] == 0.0
     m = {r["b"]: r for r in X.pair_scalars(p, X.compound_features(e), ["degree"]).collect()}
     assert m["Compound::2"]["degree_mean"] == 4.0 and m["Compound::9"]["degree_mean"] is None
