@@ -68,14 +68,15 @@ def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", share: int = 1000) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", share: int = 1000, total: int | None = None) -> DataFrame:
     """rows joined with one row per key of groups, whatever the skew of the keys in rows.
 
     groups has one row per key and in `size` the number of rows of that key. Keys of more than 1/share of all rows
     are at most `share` many, so that they can be broadcast; the other keys are joined by a shuffle in which no key
-    is large. how: inner or left; rows with a null key have no partner.
+    is large. how: inner or left; rows with a null key have no partner. total: the sum of `size`, where it is known.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.filter(F.col(size) * share > total)
     value = [c for c in groups.columns if c not in keys]
     first = rows.join(F.broadcast(hot.select(*keys, F.struct(*value).alias("__hot"))), keys, "left")
