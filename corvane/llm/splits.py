@@ -28,24 +28,28 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     e = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).filter("node is not null").distinct()
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         ways = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             ways = ways.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        near = attach(ways, least, ["u"], "n")
+        near = attach(ways, least, ["u"], "n", total=total)
         # large star: bigger neighbours to the least one; small star: all smaller neighbours and the node itself
         moved = near.filter("v > u") if large else near.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
-        return moved.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return scratch.keep(moved.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
 
-    seen = None
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    seen = mark(e)
     for _ in range(rounds):
-        e = scratch.keep(star(scratch.keep(star(e, True)), False))
-        # a forest of stars in which two rounds change nothing
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        # a large star has no more edges than it came from
+        e = star(star(e, True, 2 * seen[0]), False, seen[0])
+        # a forest of stars is what two rounds leave as it is
+        now = mark(e)
+        if now == seen:
             break
-        seen = mark
+        seen = now
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
