@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.functions.ordered import rank_within
 from corvane.functions.text import search_term
 from corvane.sources.graph import PATHS
 
@@ -59,9 +60,14 @@ def treatments(treating: DataFrame, diseases: list[str]) -> DataFrame:
     return t.groupBy("drug").agg(F.min("drug_name").alias("drug_name"), F.array_sort(F.collect_set("disease")).alias("disease_ids")).withColumn("covered", F.size("disease_ids"))
 
 
-def in_order(treatments: DataFrame) -> DataFrame:
-    """treatments with pos, their place: most diseases first, then by name and id."""
-    return treatments.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("covered"), F.col("drug_name").asc_nulls_last(), "drug")))
+def in_order(treatments: DataFrame, few: bool = False) -> DataFrame:
+    """treatments with pos, their place: most diseases first, then by name and id. few: a small local table is ranked at once."""
+    order = [F.desc("covered"), F.col("drug_name").asc_nulls_last(), F.col("drug")]
+    if few:
+        return treatments.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    # names by their first two signs, nulls behind all; at most some thousand buckets
+    begin = F.coalesce(F.concat(F.lit("0"), F.substring("drug_name", 1, 2)), F.lit("1"))
+    return rank_within(treatments, [], F.concat(F.lpad((F.lit(10**6) - F.col("covered")).cast("string"), 7, "0"), begin), order, "pos")
 
 
 def top_related(edges: DataFrame, nodes: DataFrame, metaedges: tuple[str, ...], n: int = 5) -> DataFrame:

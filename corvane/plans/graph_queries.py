@@ -48,7 +48,7 @@ def two_targets(spark: SparkSession, d: str, n: int = 2) -> tuple[DataFrame, Dat
 
 def retrieved(t: DataFrame, names: list[str], k: int) -> DataFrame:
     """The candidates in order; their number is checked before they are numbered."""
-    return G.in_order(C.bounded(G.treatments(t, names), k))
+    return G.in_order(C.bounded(G.treatments(t, names), k), few=True)
 
 
 def pair_sets(spark: SparkSession, d: str, k: int = 2) -> tuple[DataFrame, DataFrame, list[str], DataFrame, DataFrame]:
