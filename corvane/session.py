@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +30,21 @@ def local_session(app: str = "corvane", cpus: str = "*", memory: str = "8g") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their Python workers need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_corvane_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/corvane.zip", "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, f"corvane/{p.relative_to(here)}")
+    context.addPyFile(f"{folder}/corvane.zip")
+    context._corvane_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
