@@ -85,6 +85,12 @@ def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, for work in Python: small inputs come in fewer, large ones in more and stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", share: int = 1000, total: int | None = None) -> DataFrame:
     """rows joined with one row per key of groups, whatever the skew of the keys in rows.
 
