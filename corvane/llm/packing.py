@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.session import Scratch, cores
+from corvane.session import Scratch, cores, spread
 
 TOKENIZER = os.environ.get("CORVANE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 STEP = 100_000
@@ -41,7 +41,7 @@ def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 n += [len(e) for e in t.encode_batch_fast([x or "" for x in texts[i : i + 256]], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    return texts.mapInArrow(run, "doc_id bigint, tokens bigint")
+    return spread(texts).mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
 def best_fit(items: list[tuple[int, list]], capacity: int) -> list[tuple[int, list]]:

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corvane.session import Scratch, attach
+from corvane.session import Scratch, attach, spread as spread_out
 
 ROUNDS = 4
 #: How much an item that isn't known counts against a pattern, of what a good one counts for it.
@@ -162,7 +162,7 @@ def proposals(documents: DataFrame) -> DataFrame:
                         rows.append((doc, k, kind, a, b, sorted(set(items)), around(text, a, b, g), seed))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), PROPOSED)] if rows else [pa.array([], f.type) for f in PROPOSED], schema=PROPOSED)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k bigint, kind string, start_pos int, end_pos int, items array<string>, patterns array<string>, seed boolean")
+    return spread_out(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, k bigint, kind string, start_pos int, end_pos int, items array<string>, patterns array<string>, seed boolean")
 
 
 def spread(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -170,13 +170,13 @@ def spread(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[Da
     pairs = found.select("kind", "seed", F.explode("items").alias("item"), "patterns").select("kind", "seed", "item", F.explode("patterns").alias("pattern"))
     edges = scratch.keep(pairs.groupBy("kind", "item", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
     items = scratch.keep(edges.groupBy("kind", "item").agg(F.max("seed").cast("double").alias("weight"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("edges"), F.max("seed").alias("seed")))
-    patterns = items
+    patterns, total = items, edges.count()
     for _ in range(rounds):
-        held = attach(edges.select("kind", "item", "pattern", F.col("n").alias("times")), items.select("kind", "item", "weight", "edges"), ["kind", "item"], "edges")
+        held = attach(edges.select("kind", "item", "pattern", F.col("n").alias("times")), items.select("kind", "item", "weight", "edges"), ["kind", "item"], "edges", total=total)
         # what isn't known to be good counts against a pattern, but less than what is counts for it
         good = F.sum(F.when(F.col("weight") >= 0.5, F.col("times") * F.col("weight")).otherwise(0.0))
         patterns = scratch.keep(held.groupBy("kind", "pattern").agg(good.alias("good"), F.sum("times").alias("n"), F.count(F.lit(1)).alias("edges")).withColumn("weight", F.col("good") / (F.col("good") + UNKNOWN * (F.col("n") - F.col("good")) + 0.5)))
-        held = attach(edges.select("kind", "item", "pattern", "seed", F.col("n").alias("times")), patterns.select("kind", "pattern", "weight", "edges"), ["kind", "pattern"], "edges")
+        held = attach(edges.select("kind", "item", "pattern", "seed", F.col("n").alias("times")), patterns.select("kind", "pattern", "weight", "edges"), ["kind", "pattern"], "edges", total=total)
         # an item is as good as the patterns it mostly stands in
         score = F.sum(F.col("times") * F.col("weight")) / (F.sum("times") + 0.5)
         items = scratch.keep(held.groupBy("kind", "item").agg(F.least(F.lit(1.0), score * 1.25).alias("weight"), F.sum("times").alias("n"), F.count(F.lit(1)).alias("edges"), F.max("seed").alias("seed")))
