@@ -10,8 +10,9 @@ lengths and a 64-bit parity sketch compared, which only drops pairs that differ
 verified on the whole sets.
 
 Sets whose segments can't add up to H + 1 probe by their H + 1 rarest values instead. Signatures of frequent values only
-are salted. Equal sets are one class, joined once. Sets of more than HEAVY values never stand in one row: they
-go through the same pigeonhole by grouping, in a join of their own. Nothing is capped.
+are salted. Equal sets are one class, joined once. Sets of more than HEAVY distinct values never stand in one row: they
+go through the same pigeonhole by grouping, in a join of their own, where only segments that hold values count; sets with
+too few of these meet all sets of fitting sizes. Nothing is capped.
 
 Rows with a null in their source or value and repeated rows are ignored, and so are records without a value. An empty table gives no pairs. Values are
 64-bit hashes, which are checked for collisions over the whole universe and salted anew if there are any.
@@ -222,13 +223,18 @@ def heavy_pairs(long: DataFrame, heavy: DataFrame, t: float, scratch: Scratch) -
     def segments(below: int) -> DataFrame:
         x = with_band.withColumn("band", F.col("band") - below)
         top = F.pow(F.lit(1 / t), F.col("band") + 1)
-        parts = F.floor(top * (1 + 1 / t) * (1 - t) / (1 + t)).cast("bigint") + 2
+        parts = F.ceil(top).cast("bigint") + 2
         return x.withColumn("seg", F.pmod(F.xxhash64("h", "band"), parts)).groupBy("source", "size", "band", "seg").agg(F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"))
 
-    own = segments(0)
-    probe = own.unionByName(segments(1)).select(F.col("source").alias("source_b"), F.col("size").alias("lb"), "band", "seg", "sum")
+    own = scratch.keep(segments(0))
+    probe = scratch.keep(own.unionByName(segments(1))).select(F.col("source").alias("source_b"), F.col("size").alias("lb"), "band", "seg", "sum")
+    # H + 1 segments that hold values are needed: with H differing values one of them is the same on the other side
+    most = F.floor((F.col("lb") + F.least(F.col("lb"), F.ceil(F.pow(F.lit(1 / t), F.col("band") + 1)) + 1)) * ((1 - t) / (1 + t)) + 1e-6)
+    few = probe.groupBy("source_b", "lb", "band").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= most).select("source_b", "lb").distinct()
+    all_of = size.select(F.col("source").alias("source_a"), F.col("size").alias("la")).join(few, (F.col("la") <= F.col("lb")) & (F.col("la") >= F.lit(t) * F.col("lb") - F.lit(1e-9)) & (F.col("source_a") != F.col("source_b")))
     met = own.select(F.col("source").alias("source_a"), F.col("size").alias("la"), "band", "seg", "sum").join(probe, ["band", "seg", "sum"])
     met = met.filter((F.col("la") <= F.col("lb")) & (F.col("source_a") != F.col("source_b")) & (F.col("la") >= F.lit(t) * F.col("lb") - F.lit(1e-9)))
+    met = met.select("source_a", "source_b").unionByName(all_of.select("source_a", "source_b"))
     pairs = met.select(F.least("source_a", "source_b").alias("source_a"), F.greatest("source_a", "source_b").alias("source_b")).distinct()
     both = pairs.join(long.withColumnRenamed("source", "source_a"), "source_a").join(long.withColumnRenamed("source", "source_b"), ["source_b", "h"])
     n = both.groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("common"))
@@ -237,6 +243,12 @@ def heavy_pairs(long: DataFrame, heavy: DataFrame, t: float, scratch: Scratch) -
     return n.filter(j >= t).select("source_a", "source_b", j.alias("jaccard"))
 
 
+def larger(long: DataFrame, least: int) -> DataFrame:
+    """(source, size): the sets of `least` or more distinct values. Only sources of as many rows have these counted."""
+    rows = long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least)
+    return long.join(rows.select("source"), "source", "left_semi").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+
+
 def value_sets(rows: DataFrame, source: str, values: list[str], scratch: Scratch, heavy: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, int]:
     """(sets of fewer than `heavy` values as (source, hs, ns), (source, h) rows, sources of the heavier ones, rows in all)."""
     for seed in range(8):
@@ -247,7 +259,7 @@ def value_sets(rows: DataFrame, source: str, values: list[str], scratch: Scratch
             break
     total = counts.agg(F.sum("n")).first()[0] or 0
     long, counts = long.select("source", "h"), counts.select("h", "n")
-    large = long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > heavy)
+    large = larger(long, heavy + 1)
     most = None
     light = long
     if not large.isEmpty():
@@ -296,7 +308,7 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
         # partners of large sets: all that are as large as t times the smallest of these; of light classes only the first
         own = long.join(large.select("source"), "source", "left_semi").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size"))
         least = own.agg(F.min("size")).first()[0]
-        near = long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= math.floor(t * least))
+        near = larger(long, math.floor(t * least))
         near = keep(near.join(classed.filter("source <> class_source").select("source"), "source", "left_anti"))
         pairs = pairs.unionByName(heavy_pairs(long, near, t, scratch)).distinct()
         members = members.unionByName(large.select("source", F.col("source").alias("class_source"), F.lit(1).cast("bigint").alias("copies")))

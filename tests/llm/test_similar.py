@@ -71,6 +71,23 @@ def test_large_by_repeated_rows_only(spark):
     assert joined(spark, sets, 0.6, extra, heavy=12)[0] == brute(sets, 0.6)
 
 
+def test_few_values_in_many_rows_are_no_large_set(spark):
+    from corvane.session import Scratch
+
+    rows = spark.createDataFrame(rows_of({"a": {1, 2}, "b": set(range(20))}) + [("a", "1", "1", None, None)] * 40, SCHEMA)
+    large = similar.value_sets(rows, "source", ["m", "t"], Scratch(spark), 12)[2]
+    assert [r["source"] for r in large.collect()] == ["b"]
+
+
+def test_large_sets_with_empty_segments(spark):
+    # heavy 1: all sets of two values or more take the join of large sets
+    sets = {}
+    for i in range(60):
+        k = 100 * i
+        sets |= {f"a{i:02d}": {k, k + 1}, f"b{i:02d}": {k, k + 1, k + 2}, f"c{i:02d}": {k + 10, k + 11, k + 12}, f"d{i:02d}": {k + x for x in range(10, 15)}}
+    assert joined(spark, sets, 0.6, heavy=1)[0] == brute(sets, 0.6)
+
+
 def test_odd_rows(spark):
     assert joined(spark, {}, 0.6)[0] == set()
     extra = [(None, "1", "1", None, None), ("a", "1", "1", None, None), ("a", "1", "1", None, None), ("b", "1", "1", None, None), ("b", None, "2", None, None), ("q", "2", None, None, None)]
