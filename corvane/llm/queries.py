@@ -31,19 +31,23 @@ def p6_copies(spark: SparkSession, d: str) -> DataFrame:
 USABLE = {"level": lambda: usable_level("Level"), "source": lambda: usable_source("source_file"), "atc": lambda: usable_atc("atc_category")}
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def pair_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of drug pairs with their usable fields. Ids in their plain spelling are trusted."""
+    plain = sum((F.when(F.coalesce(F.col(f"DDInterID_{s}").rlike(r"^DDInter[0-9]+\z"), F.lit(False)), 1).otherwise(0) for s in "AB"), F.lit(0))
     rows = pairs.valid_pairs(table(spark, d, "ddinter_malformed_rows"))
-    rows = rows.select("row_id", "loaded_at", *pairs.id_pair(), *[c().alias(f"has_{k}") for k, c in USABLE.items()])
-    got = survivors.survivors(rows, ["low_id", "high_id"], "row_id", {k: F.col(f"has_{k}") for k in USABLE}, "loaded_at", policy=("recency",))
+    return rows.select("row_id", "loaded_at", *pairs.id_pair(), plain.alias("trust"), *[c().alias(f"has_{k}") for k, c in USABLE.items()])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    usable = {k: F.col(f"has_{k}") for k in USABLE}
+    got = survivors.survivors(pair_records(spark, d), ["low_id", "high_id"], "row_id", usable, "loaded_at", F.col("trust"), ("recency",), "field")
     return got.select("group_row_id", *[F.coalesce(f"{k}_row_id", F.lit(-1)).cast("bigint").alias(f"{k}_row_id") for k in USABLE])
 
 
 def p3_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Record by record: the first skyline is filled from the layers behind it. Ids in their plain spelling are trusted."""
-    plain = sum((F.when(F.coalesce(F.col(f"DDInterID_{s}").rlike(r"^DDInter[0-9]+\z"), F.lit(False)), 1).otherwise(0) for s in "AB"), F.lit(0))
-    rows = pairs.valid_pairs(table(spark, d, "ddinter_malformed_rows"))
-    rows = rows.select("row_id", "loaded_at", *pairs.id_pair(), plain.alias("trust"), *[c().alias(f"has_{k}") for k, c in USABLE.items()])
-    got = survivors.survivors(rows, ["low_id", "high_id"], "row_id", {k: F.col(f"has_{k}") for k in USABLE}, "loaded_at", F.col("trust"), ("completeness", "recency", "trust"), "layer")
+    """Record by record: the first skyline is filled from the layers behind it."""
+    usable = {k: F.col(f"has_{k}") for k in USABLE}
+    got = survivors.survivors(pair_records(spark, d), ["low_id", "high_id"], "row_id", usable, "loaded_at", F.col("trust"), ("completeness", "recency", "trust"), "layer")
     return got.drop("low_id", "high_id")
 
 
@@ -96,6 +100,21 @@ w AS (SELECT *, {", ".join(f"CASE WHEN has_{k} THEN row_number() OVER (PARTITION
 SELECT min(row_id) AS group_row_id, {", ".join(f"coalesce(min(CASE WHEN p_{k} = 1 THEN row_id END), -1) AS {k}_row_id" for k in _OK)}
 FROM w GROUP BY x, y HAVING count(*) > 1"""
 
+_TRUST = " + ".join(f"CAST(coalesce(regexp_full_match(DDInterID_{s}, 'DDInter[0-9]+'), false) AS INT)" for s in "AB")
+_HAS = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(_OK.values()))
+# a cell's layer is the length of the longest chain of cells of which each dominates the next
+_P3_LAYERS = f"""
+WITH RECURSIVE r AS (SELECT row_id, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS seen, least({_IDS[0]}, {_IDS[1]}) AS x, greatest({_IDS[0]}, {_IDS[1]}) AS y, {_HAS} AS has, {_TRUST} AS trust
+  FROM ddinter_malformed_rows WHERE {_VALID}),
+g AS (SELECT x, y, min(row_id) AS group_row_id, count(*) AS copies FROM r GROUP BY x, y HAVING count(*) > 1),
+c AS (SELECT r.x, r.y, has, bit_count(has) AS full_, trust, seen, row_id FROM r JOIN g ON g.x = r.x AND g.y = r.y QUALIFY row_number() OVER (PARTITION BY r.x, r.y, has, trust ORDER BY seen DESC, row_id) = 1),
+d AS (SELECT a.row_id AS over, b.row_id AS under FROM c a JOIN c b ON a.x = b.x AND a.y = b.y AND a.full_ >= b.full_ AND a.seen >= b.seen AND a.trust >= b.trust AND (a.full_ > b.full_ OR a.seen > b.seen OR a.trust > b.trust)),
+chain AS (SELECT row_id, 1 AS k FROM c UNION SELECT d.under, k + 1 FROM chain JOIN d ON d.over = chain.row_id),
+l AS (SELECT c.*, m.k FROM c JOIN (SELECT row_id, max(k) AS k FROM chain GROUP BY row_id) m ON m.row_id = c.row_id),
+w AS (SELECT *, {", ".join(f"CASE WHEN has & {1 << i} > 0 THEN row_number() OVER (PARTITION BY x, y, has & {1 << i} > 0 ORDER BY k, full_ DESC, seen DESC, trust DESC, row_id) END AS p_{n}" for i, n in enumerate(_OK))} FROM l)
+SELECT group_row_id, copies, max(k) AS layers, count(CASE WHEN k = 1 THEN 1 END) AS skyline, {", ".join(f"min(CASE WHEN p_{n} = 1 THEN row_id END) AS {n}_row_id" for n in _OK)}
+FROM w JOIN g ON g.x = w.x AND g.y = w.y GROUP BY w.x, w.y, group_row_id, copies"""
+
 _P2 = f"""
 WITH RECURSIVE held AS (SELECT DISTINCT lower({sql_trim("held_out_ddinter_id")}) AS e FROM secondary_cold_start_holdout_drugs WHERE coalesce({sql_trim("held_out_ddinter_id")}, '') <> ''),
 has AS (
@@ -111,6 +130,7 @@ SQL = {
     "p6_found": f"WITH k AS ({_P6}), g AS (SELECT *, min(row_id) OVER (PARTITION BY x, y) AS group_row_id FROM k) SELECT group_row_id, row_id FROM g WHERE row_id <> group_row_id",
     "p6_copies": f"WITH k AS ({_P6}) SELECT min(row_id) AS group_row_id, count(*) AS copies FROM k GROUP BY x, y",
     "p3_found": _P3,
+    "p3_layers": _P3_LAYERS,
     "p2_found": _P2,
 }
 
