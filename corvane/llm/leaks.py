@@ -1,33 +1,40 @@
 """Passages of evaluation items in documents.
 
-Both sides are cut into windows of `words` words, items that are shorter into one window of their own length, and every
-window gets a 64-bit SimHash of its words. Fingerprints are cut into radius + 1 blocks; two within the radius agree in
-one block at least. A Bloom filter of fixed size over the items' blocks leaves of the documents' windows, as they are
-made, those that can meet an item's; only these are shuffled. Windows that meet within the radius are
-verified on their five-word shingles, weighted by their counts.
-
-Words are the longest runs of letters and digits, in lower case. Texts are taken whole, of any length, in steps
-of STEP windows. Null and empty texts have no windows. An item that repeats another is reported beside it. A passage
-that occurs twice in a document counts once per distinct window.
+Items are looked for at two sizes: in passages, which are windows of `words` words, or the whole item if it has fewer; and at
+their own size, by the first and the last window of the longest class of lengths that fits the item (classes grow by half
+from `words` on). Documents are cut into windows of every length that an item has.
+
+Each window gets a 64-bit SimHash of its words. Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
+radius r differ in at most r // 4 bits in one block, so the index holds each block of an item's window with up to r // 4 bits flipped
+and meets every fingerprint within the radius, each pair in the first such block only. Pairs within the radius are verified on
+their five-word shingles, weighted by their counts.
+
+The items are a stated query set: their windows go in blocks of at most BLOCK to every task, one pass over the documents for
+each block, and nothing of the documents is shuffled. Words are the longest runs of letters and digits, in lower case. Texts are
+taken whole, of any length, in steps. Null and empty texts have no windows. An item that repeats another is reported beside it.
+A passage that occurs twice in a document counts once.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from corvane.llm.bloom import seen_filter
-from corvane.llm.formatting import contains
-from corvane.session import BROADCAST_ROWS, Scratch, spread
+from corvane.session import Scratch, spread
 
-STEP = 1 << 17
-FILTER_BITS = 1 << 24
-SALTS = 16
+STEP = 1 << 13  # words whose fingerprints are made at once, so that their sums stay in a core's cache
+BLOCK = 100_000
 SHINGLE, ALIKE = 5, 0.8
+#: Bits that may differ: in passages, which are mostly sought for equal ones, and at an item's own size.
+RADIUS = (3, 11)
+_ASCII = re.compile("[a-z0-9]+")
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +42,7 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     import regex
 
     run = regex.compile(r"[\p{L}\p{Nd}]+")
-    lists = [run.findall(t.lower()) if t else [] for t in texts]
+    lists = [(_ASCII if t.isascii() else run).findall(t.lower()) if t else [] for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
     codes, names = pd.factorize(np.array([w for x in lists for w in x], object))
     return counts, codes, names
@@ -71,93 +78,140 @@ def fingerprints(bits: np.ndarray, codes: np.ndarray, lengths: list[int]) -> dic
     return out
 
 
-def block_keys(fp: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """A key for each block of each fingerprint; rows are blocks."""
-    width = 64 // (radius + 1)
-    keys = []
-    for b in range(radius + 1):
-        low = (fp >> np.uint64(b * width)) & np.uint64((1 << width) - 1 if b < radius else (1 << (64 - b * width)) - 1)
-        x = low + np.uint64((n * 64 + b + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys.append((x ^ (x >> np.uint64(32))).view(np.int64))
-    return np.stack(keys)
+def own_length(n: int, words: int) -> int:
+    """The class of lengths of an item of n words, which has more than `words`."""
+    length = words
+    while length + (length + 1) // 2 <= n:
+        length += (length + 1) // 2
+    return length
 
 
-WINDOWS = "id bigint, n int, fp bigint, keys array<bigint>, words string"
+def item_windows(items: DataFrame, words: int) -> DataFrame:
+    """(item_id, n, passage, start, fp, words) of items (id, text): their passages and the windows of their own size."""
 
-
-def windows(texts: DataFrame, lengths: list[int], radius: int, own_length: int = 0, passing: object = None, bits: int = 0) -> DataFrame:
-    """The windows of texts (id, text); with passing, a broadcast filter, the distinct ones of each text that pass it.
-
-    own_length: only windows of min(own_length, number of words) words.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, codes, names = words_of(batch.column(1).to_pylist())
+            table, ends = word_bits(names) if len(names) else np.zeros((0, 64), np.uint8), np.cumsum(counts)
+            for item, count, end in zip(batch.column(0).to_pylist(), counts.tolist(), ends.tolist()):
+                if not count:
+                    continue
+                own, n = codes[end - count : end], min(count, words)
+                ways = [(n, True, range(count - n + 1))]
+                if count > words:
+                    m = own_length(count, words)
+                    ways.append((m, False, sorted({0, count - m})))
+                for n, passage, starts in ways:
+                    fp = fingerprints(table, own, [n])[n]
+                    rows = [(item, n, passage, s, int(fp[s].astype(np.int64)), names[own[s : s + n]].tolist()) for s in starts]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _WINDOW)], schema=_WINDOW)
+
+    return items.mapInArrow(run, "item_id bigint, n int, passage boolean, start int, fp bigint, words array<string>")
+
+
+_WINDOW = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("passage", pa.bool_()), ("start", pa.int32()), ("fp", pa.int64()), ("words", pa.list_(pa.string()))])
+LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n", pa.int32()), ("passage", pa.bool_()), ("start", pa.int32()), ("same", pa.bool_()), ("similarity", pa.float64())])
+LEAK_SQL = "doc_id bigint, item_id bigint, n int, passage boolean, start int, same boolean, similarity double"
+
+
+def shingles(words: list[str]) -> Counter:
+    k = min(SHINGLE, len(words))
+    return Counter(zip(*[words[i:] for i in range(k)]))
+
+
+class Index:
+    """Item windows of one length and radius, by the four blocks of their fingerprints and what lies near these."""
+
+    def __init__(self, rows: list, radius: int) -> None:
+        self.rows, self.radius, self.near = rows, radius, radius // 4
+        self.fp = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+        self.parts: list[Counter | None] = [None] * len(rows)
+        flips = np.array([sum(1 << i for i in c) for k in range(self.near + 1) for c in combinations(range(16), k)], np.uint64)
+        self.blocks = []
+        for b in range(4):
+            key = ((self.fp >> np.uint64(16 * b)) & np.uint64(0xFFFF))[:, None] ^ flips
+            order = np.argsort(key.ravel(), kind="stable")
+            first = np.searchsorted(key.ravel()[order], np.arange((1 << 16) + 1, dtype=np.uint64))
+            self.blocks.append((first.astype(np.int64), (order // len(flips)).astype(np.int32)))
+
+    def meet(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in fp, windows) of all pairs within the radius, each once."""
+        at, who = [], []
+        for b, (first, windows) in enumerate(self.blocks):
+            key = ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            begin, n = first[key], first[key + 1] - first[key]
+            some = np.flatnonzero(n)
+            n = n[some]
+            pos = np.repeat(some, n)
+            win = windows[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            x = fp[pos] ^ self.fp[win]
+            ok = np.bitwise_count(x) <= self.radius
+            pos, win, x = pos[ok], win[ok], x[ok]
+            for c in range(b):  # met in an earlier block
+                ok = np.bitwise_count((x >> np.uint64(16 * c)) & np.uint64(0xFFFF)) > self.near
+                pos, win, x = pos[ok], win[ok], x[ok]
+            at.append(pos)
+            who.append(win)
+        return np.concatenate(at), np.concatenate(who)
+
+    def similarity(self, window: int, words: list[str]) -> float:
+        """Weighted Jaccard: shared over all counts of the shingles."""
+        if self.parts[window] is None:
+            self.parts[window] = shingles(self.rows[window]["words"])
+        mine, theirs = self.parts[window], shingles(words)
+        common = sum(min(n, mine[s]) for s, n in theirs.items() if s in mine)
+        return common / (sum(mine.values()) + sum(theirs.values()) - common)
+
+
+def in_documents(documents: DataFrame, block: list, radius: tuple[int, int], alike: float) -> DataFrame:
+    """The windows of documents that are alike a window of the block."""
+    groups: dict[tuple[int, bool], list] = {}
+    for r in block:
+        groups.setdefault((r["n"], r["passage"]), []).append(r.asDict())
+    sent = documents.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {k: Index(rows, radius[not k[1]]) for k, rows in sent.value.items()}
+        lengths = sorted({n for n, _ in index})
+        longest = lengths[-1]
+        step = max(STEP, 4 * longest)
         for batch in batches:
             counts, codes, names = words_of(batch.column(1).to_pylist())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(counts)
+            ids, ends = batch.column(0).to_numpy(zero_copy_only=False), np.cumsum(counts)
             owner = np.repeat(np.arange(len(counts)), counts)
             table = word_bits(names) if len(names) else np.zeros((0, 64), np.uint8)
-            longest = max(lengths)
-            for at in range(0, len(codes), STEP):
-                part = codes[at : at + STEP + longest - 1]
-                for n, fp in fingerprints(table, part, lengths).items():
-                    fp = fp[:STEP]
-                    start = at + np.arange(len(fp))
+            found: dict[tuple, tuple] = {}
+            for at in range(0, len(codes), step):
+                made = fingerprints(table, codes[at : at + step + longest - 1], lengths)
+                for (n, passage), ix in index.items():
+                    pos, win = ix.meet(made[n][:step])
+                    start = at + pos
                     inside = start + n <= ends[owner[start]]
-                    if own_length:
-                        inside &= np.minimum(own_length, counts[owner[start]]) == n
-                    start, fp = start[inside], fp[inside]
-                    keys = block_keys(fp, n, radius)
-                    if passing is not None and len(fp):
-                        hit = np.zeros(len(fp), bool)
-                        for k in keys:
-                            hit |= contains(passing.value, k, bits)
-                        start, fp, keys = start[hit], fp[hit], keys[:, hit]
-                    if not len(fp):
-                        continue
-                    text = [" ".join(names[codes[s : s + n]]) for s in start]
-                    t = pd.DataFrame({"id": ids[owner[start]], "n": np.int32(n), "fp": fp.view(np.int64), "keys": list(keys.T.tolist()), "words": text})
-                    if passing is not None:
-                        t = t.drop_duplicates(["id", "words"])
-                    yield pa.RecordBatch.from_pandas(t, pa.schema([("id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("words", pa.string())]), preserve_index=False)
-
-    return texts.mapInArrow(run, WINDOWS)
-
-
-def shingle_weights(c: str):  # noqa: ANN201
-    words = F.split(c, " ")
-    start = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
-    return F.transform(start, lambda i: F.concat_ws(" ", F.slice(words, i, SHINGLE)))
-
-
-def weighted_similarity(a: str, b: str):  # noqa: ANN201
-    """Weighted Jaccard: shared over all counts of the shingles."""
-    x, y = shingle_weights(a), shingle_weights(b)
-    times = lambda arr, v: F.size(F.filter(arr, lambda w: w == v))
-    every = F.array_union(x, y)
-    low = F.aggregate(every, F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)))
-    high = F.aggregate(every, F.lit(0), lambda s, v: s + F.greatest(times(x, v), times(y, v)))
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(low / high)
-
-
-def leaks(documents: DataFrame, items: DataFrame, words: int = 13, radius: int = 1, alike: float = ALIKE) -> DataFrame:
-    """(doc_id, item_id, item_words, doc_words, similarity): the window pairs that are alike; both inputs are (id, text)."""
+                    for s, w in zip(start[inside].tolist(), win[inside].tolist()):
+                        own = names[codes[s : s + n]].tolist()
+                        same = own == ix.rows[w]["words"]
+                        alike_by = 1.0 if same else ix.similarity(w, own)
+                        if alike_by >= alike:
+                            key = (owner[s], n, passage, w)
+                            if key not in found or found[key] < (same, alike_by):
+                                found[key] = (same, alike_by)
+            rows = [(ids[o], ix["item_id"], n, p, ix["start"], *v) for (o, n, p, w), v in found.items() for ix in [index[n, p].rows[w]]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), LEAK)] if rows else [pa.array([], f.type) for f in LEAK], schema=LEAK)
+
+    return documents.mapInArrow(run, LEAK_SQL)
+
+
+def leaks(documents: DataFrame, items: DataFrame, words: int = 13, radius: tuple[int, int] = RADIUS, alike: float = ALIKE) -> DataFrame:
+    """(doc_id, item_id, n, passage, start, same, similarity): the windows of items, from word `start` on, that documents hold alike.
+
+    Both inputs are (id, text). similarity is that of the most similar window of the document; same: it has the same words in a row.
+    """
     spark = documents.sparkSession
-    scratch = Scratch(spark)
-    index = scratch.keep(windows(items, list(range(1, words + 1)), radius, own_length=words))
-    found = [r["n"] for r in index.select("n").distinct().collect()]  # at most `words` rows
-    lengths = sorted(found) or [words]
-    keys = index.select(F.explode("keys").alias("key"), F.col("id").alias("item_id"), F.col("n").alias("m"), F.col("fp").alias("fq"), F.col("words").alias("item_words"))
-    passing = spark.sparkContext.broadcast(seen_filter(keys.select("key"), FILTER_BITS))
-    texts = documents.filter("text is not null and text <> ''")
-    mine = windows(spread(texts), lengths, radius, passing=passing, bits=FILTER_BITS).select(F.col("id").alias("doc_id"), "n", "fp", F.explode("keys").alias("key"), "words")
-    if keys.count() <= BROADCAST_ROWS:
-        met = mine.join(F.broadcast(keys), "key")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        met = mine.withColumn("salt", F.pmod(F.xxhash64("doc_id", "words"), F.lit(SALTS)).cast("int")).join(keys.select("*", salts), ["key", "salt"])
-    near = met.filter((F.col("n") == F.col("m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= radius))
-    near = near.withColumn("similarity", weighted_similarity("words", "item_words")).filter(F.col("similarity") >= alike)
-    return near.select("doc_id", "item_id", "item_words", F.col("words").alias("doc_words"), "similarity")
+    texts = spread(documents.filter("text is not null and text <> ''"))
+    index = Scratch(spark).keep(item_windows(items, words))
+    found, block = spark.createDataFrame([], LEAK_SQL), []
+    for row in index.toLocalIterator():  # a block at a time
+        block.append(row)
+        if len(block) == BLOCK:
+            found, block = found.unionByName(in_documents(texts, block, radius, alike)), []
+    return found.unionByName(in_documents(texts, block, radius, alike)) if block else found

@@ -22,14 +22,15 @@ def p9_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    # a passage in common is a window whose words are the same
-    return p9_windows(spark, d).filter("doc_words = item_words").select("doc_id", "item_id").distinct()
+    # a case is a verified passage that stands there with the same words
+    return p9_windows(spark, d).filter("passage and same").select("doc_id", "item_id").distinct()
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many distinct windows of an item each document holds, alike ones included, and the best similarity."""
-    got = p9_windows(spark, d).groupBy("doc_id", "item_id", "item_words").agg(F.max("similarity").alias("similarity"))
-    return got.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.max("similarity").alias("similarity"))
+    """How many passages of an item each document holds, how many of them unchanged, and how alike it is at the item's own size (null: not alike)."""
+    own = F.col("similarity")
+    got = p9_windows(spark, d).groupBy("doc_id", "item_id")
+    return got.agg(F.count_if("passage").alias("passages"), F.count_if(F.col("passage") & F.col("same")).alias("unchanged"), F.max(F.when(~F.col("passage"), own)).alias("similarity"))
 
 
 QUERIES = {f.__name__: f for f in (p8_containers, p9_found, p9_report)}

@@ -30,7 +30,7 @@ def plain(docs, items, n=13):
 
 def found(spark, docs, items, **kw):
     a, b = (spark.createDataFrame(x, "id long, text string") for x in (docs, items))
-    got = leaks.leaks(a, b, **kw).filter("doc_words = item_words").select("doc_id", "item_id").distinct()
+    got = leaks.leaks(a, b, **kw).filter("passage and same").select("doc_id", "item_id").distinct()
     return {tuple(r) for r in got.collect()}
 
 
@@ -71,19 +71,55 @@ def test_fingerprints_are_sums_of_words():
             assert fp[k] == int.from_bytes(np.packbits(want).tobytes(), "big")
 
 
-def test_all_fingerprints_within_the_radius_share_a_block():
-    rng = np.random.default_rng(1)
-    for radius in (1, 3):
-        a = rng.integers(0, 2**63, 500).astype(np.uint64)
-        b = a.copy()
-        for _ in range(radius):
-            b ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
-        assert (leaks.block_keys(a, 13, radius) == leaks.block_keys(b, 13, radius)).any(axis=0).all()
+@pytest.mark.parametrize("radius", [3, 11])
+def test_index_meets_every_fingerprint_within_the_radius_once(radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 2**63, 60).astype(np.uint64)
+    b = a[rng.integers(0, 60, 4000)]
+    for _ in range(radius + 3):
+        b = b ^ (rng.integers(0, 2, 4000).astype(np.uint64) << rng.integers(0, 64, 4000).astype(np.uint64))
+    at, win = leaks.Index([{"fp": int(x.astype(np.int64)), "words": []} for x in a], radius).meet(b)
+    near = np.bitwise_count(b[:, None] ^ a[None, :]) <= radius
+    assert sorted(zip(at.tolist(), win.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(near))))
 
 
-def test_weighted_similarity(spark):
-    df = spark.createDataFrame([("a b c d e f", "a b c d e f"), ("a b c d e f", "a b c d e g"), ("a b", "a b"), ("a b", "a c")], "x string, y string")
-    assert [r[0] for r in df.select(leaks.weighted_similarity("x", "y")).collect()] == [1.0, pytest.approx(1 / 3), 1.0, 0.0]
+def test_weighted_similarity():
+    alike = lambda x, y: leaks.Index([{"fp": 0, "words": x.split()}], 0).similarity(0, y.split())
+    assert [alike("a b c d e f", "a b c d e f"), alike("a b c d e f", "a b c d e g"), alike("a b", "a b"), alike("a b", "a c")] == [1.0, pytest.approx(1 / 3), 1.0, 0.0]
+    assert alike("a a a a a a a", "a a a a a a") == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 0.95), (0.1, 0.8)])
+def test_edited_items_are_found(spark, share, least):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(28, 110)))) for i in range(150)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for k in rng.sample(range(len(w)), round(share * len(w))):
+            w[k] = rng.choice(words)
+        docs.append((i, " ".join([rng.choice(words) for _ in range(50)] + w + [rng.choice(words) for _ in range(50)])))
+    a, b = (spark.createDataFrame(x, "id long, text string") for x in (docs, items))
+    got = {r["doc_id"] for r in leaks.leaks(a, b).filter("doc_id = item_id").collect()}
+    assert len(got) >= least * len(items)
+
+
+def test_one_changed_word_is_found_at_own_size(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"x{rng.randrange(3000)}" for _ in range(rng.randrange(68, 110)))) for i in range(100)]
+    docs = [(i, " ".join("changed" if k == 30 else w for k, w in enumerate(t.split()))) for i, t in items]
+    a, b = (spark.createDataFrame(x, "id long, text string") for x in (docs, items))
+    got = leaks.leaks(a, b).filter("not passage and doc_id = item_id and similarity >= 0.8")
+    assert got.select("doc_id").distinct().count() >= 95
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    items = [(i, f"one two three four word{i % 7}") for i in range(20)]
+    docs = [(d, f"so one two three four word{d} end") for d in range(9)]
+    want = found(spark, docs, items)
+    monkeypatch.setattr(leaks, "BLOCK", 6)
+    assert found(spark, docs, items) == want == plain(docs, items)
 
 
 # --- packing ------------------------------------------------------------------------------------------------------------
