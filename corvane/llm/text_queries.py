@@ -30,7 +30,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """How many passages of an item each document holds, how many of them unchanged, and how alike it is at the item's own size (null: not alike)."""
     own = F.col("similarity")
     got = p9_windows(spark, d).groupBy("doc_id", "item_id")
-    return got.agg(F.count_if("passage").alias("passages"), F.count_if(F.col("passage") & F.col("same")).alias("unchanged"), F.max(F.when(~F.col("passage"), own)).alias("similarity"))
+    return got.agg(F.count_if(F.col("passage")).alias("passages"), F.count_if(F.col("passage") & F.col("same")).alias("unchanged"), F.max(F.when(~F.col("passage"), own)).alias("similarity"))
 
 
 QUERIES = {f.__name__: f for f in (p8_containers, p9_found, p9_report)}
