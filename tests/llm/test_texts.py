@@ -197,6 +197,42 @@ def test_found_where_they_stand(spark):
     assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
 
 
+def test_the_graph_decides_every_kind(spark):
+    from corvane.session import Scratch
+
+    texts, truth = corpus(400, 3)
+    scratch = Scratch(spark)
+    found = scratch.keep(personal.proposals(spark.createDataFrame(texts, "doc_id long, text string")))
+    items, patterns = personal.spread(found, scratch)
+    kinds = {r["kind"] for r in personal.judged(personal.weighed(found, items, patterns)).select("kind").distinct().collect()}
+    assert kinds == set(personal.KINDS)
+    without = personal.judged(personal.weighed(found, items.withColumn("weight", F.lit(0.0)), patterns.withColumn("weight", F.lit(0.0))))
+    assert without.count() == 0
+
+
+def test_patterns_bring_up_what_no_grammar_knows(spark):
+    texts, _ = corpus(500, 7)
+    rng = random.Random(9)
+    hidden = set()
+    for d in range(1000, 1040):
+        name, street = f"{rng.choice(GIVEN)} {rng.choice(FAMILY)}".lower(), f"{rng.randrange(2, 90)} {rng.choice(FAMILY)} Close"
+        before, value, after, kind = rng.choice([("Then ask for ", name, " at once.", "name"), ("We heard she lives at ", street, ".", "address")])
+        texts.append((d, before + value + after))
+        hidden.add((d, kind, len(before), len(before) + len(value)))
+    every = {t: {(k, a, b) for k, a, b, _, _ in personal.spans(t, personal.grammars())} for d, t in texts if d >= 1000}
+    assert not any(h[1:] in every[t] for d, t in texts if d >= 1000 for h in hidden if h[0] == d)
+    got = {(r["doc_id"], r["kind"], r["start_pos"], r["end_pos"]) for r in personal.personal_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(got & hidden) >= 0.9 * len(hidden)
+
+
+def test_blocks_of_patterns_give_the_same(spark, monkeypatch):
+    texts, _ = corpus(200, 8)
+    df = spark.createDataFrame(texts + [(900, "Ask for mara thornfeld at once.")], "doc_id long, text string")
+    want = {tuple(r) for r in personal.personal_spans(df).drop("score").collect()}
+    monkeypatch.setattr(personal, "BLOCK", 2)
+    assert {tuple(r) for r in personal.personal_spans(df).drop("score").collect()} == want
+
+
 def test_placeholders(spark):
     texts = [(1, "a@b.example 😀 +1-415-555-0100"), (2, None), (3, ""), (4, "nothing")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
@@ -227,7 +263,7 @@ def test_grammars():
     assert proposed("Write @846 in the field at 303.555.0155 now", "email") == []
     assert set(proposed("Am Hausplatz 12, 00973 Bexhollow; C/ Prado, 5. 12 bis, avenue Nord", "address")) == {"Am Hausplatz 12, 00973 Bexhollow", "C/ Prado, 5", "12 bis, avenue Nord"}
     assert "Mara L. Thornfeld" in proposed("Ask for Mara L. Thornfeld at once", "name") and "von Thornfeld, Mara" in proposed("by von Thornfeld, Mara.", "name")
-    assert "mara thornfeld" in proposed("Patient mara thornfeld lives here", "name")
+    assert proposed("Patient mara thornfeld lives here", "name") == []  # patterns bring these up
     assert proposed("Then a dose was low and stayed so.", "name") == []
     assert proposed("Call +1 (415) 555‑0100 ext. 12 now", "phone") == ["+1 (415) 555‑0100 ext. 12"]
 
