@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from corvane.session import Scratch, attach, spread as spread_out
 ROUNDS = 4
 #: Left patterns from this weight on propose spans; so many at once.
 STRONG, BLOCK = 0.75, 50_000
+#: The share of all places of such a pattern that hold good items.
+HELD = 0.2
 #: How much an item that isn't known counts against a pattern, of what a good one counts for it.
 UNKNOWN = 0.25
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -213,29 +216,57 @@ def low(text: str) -> str:
 SPACES = str.maketrans({c: " " for c in S[1:-1]})
 
 
+def context_machine(patterns: Iterable[str]) -> Callable[[str], Iterator[tuple[int, int, set[str]]]]:
+    """A function that gives (start, end, patterns) of all places of a text in lower case where the two tokens of a pattern stand."""
+    import ahocorasick
+
+    texts: dict[str, set[str]] = {}
+    for pattern in patterns:
+        x, y = (t.replace("¶", "\n") for t in pattern[2:].split(" "))
+        for sep in ("", " "):
+            texts.setdefault(x + sep + y, set()).add(pattern)
+    machine = ahocorasick.Automaton()
+    for t, own in texts.items():
+        machine.add_word(t, (len(t), t[0].isalnum(), t[-1].isalnum(), own))
+    machine.make_automaton()
+
+    def places(text: str) -> Iterator[tuple[int, int, set[str]]]:
+        for last, (size, opens, closes, own) in machine.iter(text):
+            begin, end = last + 1 - size, last + 1
+            if not (opens and begin and text[begin - 1].isalnum() or closes and end < len(text) and text[end].isalnum()):
+                yield begin, end, own
+
+    return places
+
+
+def fired(documents: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, hits): how often the two tokens of a pattern stand in the texts, whatever is beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = context_machine(patterns)
+        for batch in batches:
+            n: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                for _, _, own in places(low(text or "")):
+                    n.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "hits"])
+
+    return spread_out(documents.select("text")).mapInArrow(run, "pattern string, hits bigint").groupBy("pattern").agg(F.sum("hits").alias("hits"))
+
+
 def by_patterns(found: list[tuple[str, str]]) -> Callable[[dict], Callable[[str], Iterator[tuple]]]:
     """Spans behind left patterns (kind, 'L x y') and names before right ones (name, 'R x y') that no grammar proposes there."""
 
     def spans_of(g: dict) -> Callable[[str], Iterator[tuple]]:
-        import ahocorasick
-
         kinds: dict[str, set[str]] = {}
-        texts: dict[str, set[str]] = {}
         for kind, pattern in found:
             kinds.setdefault(pattern, set()).add(kind)
-            x, y = (t.replace("¶", "\n") for t in pattern[2:].split(" "))
-            for sep in ("", " "):
-                texts.setdefault(x + sep + y, set()).add(pattern)
-        machine = ahocorasick.Automaton()
-        for t, patterns in texts.items():
-            machine.add_word(t, (len(t), patterns))
-        machine.make_automaton()
+        places = context_machine(kinds)
         blank = S[1:-1]
 
         def of(text: str) -> Iterator[tuple]:
             known, left, right = None, {}, {}
-            for end, (size, patterns) in machine.iter(low(text)):
-                begin, stop = end + 1, end + 1 - size
+            for stop, begin, patterns in places(low(text)):
                 while begin < len(text) and text[begin] in blank:
                     begin += 1
                 while stop > 0 and text[stop - 1] in blank:
@@ -330,12 +361,25 @@ def judged(rows: DataFrame, least: float = 0.5) -> DataFrame:
     return scored.filter(F.col("score") >= least).select("doc_id", "kind", "start_pos", "end_pos", "score")
 
 
-def strong_patterns(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(kind, pattern): the left patterns, and the right ones of names, that may propose spans; those with digits or at an end of a text can't."""
-    good = patterns.filter(F.col("weight") * F.col("n") / (F.col("n") + 1) >= STRONG).select("p")
+def strong_patterns(documents: DataFrame, found: DataFrame, patterns: DataFrame, scratch: Scratch) -> Iterator[list[tuple[str, str]]]:
+    """Blocks of (kind, pattern): the left patterns, and the right ones of names, that may propose spans.
+
+    Their weight is high, and of all places where they stand a share of HELD or more holds good items. Patterns with digits or at an end of
+    a text can't.
+    """
+    good = patterns.filter(F.col("weight") * F.col("n") / (F.col("n") + 1) >= STRONG).select("p", "good")
     sides = F.when(F.col("kind") == "name", F.slice("patterns", 1, 2)).otherwise(F.slice("patterns", 1, 1))
     each = found.select("kind", F.explode(sides).alias("pattern")).filter(~F.col("pattern").rlike(r"[#^$]")).distinct()
-    return each.withColumn("p", edge("kind", "pattern")).join(good, "p", "left_semi").select("kind", "pattern")
+    each = scratch.keep(each.withColumn("p", edge("kind", "pattern")).join(good, "p").select("kind", "pattern", "good"))
+    block: list[dict] = []
+    for row in chain(each.toLocalIterator(), [None]):  # a block at a time
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == BLOCK):
+            hits = {r["pattern"]: r["hits"] for r in fired(documents, sorted({r["pattern"] for r in block})).collect()}  # at most BLOCK rows
+            if some := [(r["kind"], r["pattern"]) for r in block if r["good"] >= HELD * hits.get(r["pattern"], 0)]:
+                yield some
+            block = []
 
 
 def personal_spans(documents: DataFrame, least: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
@@ -343,14 +387,9 @@ def personal_spans(documents: DataFrame, least: float = 0.5, rounds: int = ROUND
     scratch = Scratch(documents.sparkSession)
     found = scratch.keep(proposals(documents))
     items, patterns = spread(found, scratch, rounds)
-    every, block, first = found, [], 1 << 40
-    strong = scratch.keep(strong_patterns(found, patterns))
-    for row in chain(strong.toLocalIterator(), [None]):  # a block at a time
-        if row is not None:
-            block.append((row["kind"], row["pattern"]))
-        if block and (row is None or len(block) == BLOCK):
-            every = every.unionByName(per_text(documents, by_patterns(block), first))
-            block, first = [], first + (1 << 40)
+    every, first = found, 1 << 40
+    for block in strong_patterns(documents, found, patterns, scratch):
+        every, first = every.unionByName(per_text(documents, by_patterns(block), first)), first + (1 << 40)
     every = every if every is found else scratch.keep(every)
     return settled(judged(weighed(every, items, patterns), least))
 
