@@ -2,8 +2,10 @@
 
 Each partition packs its items by best fit, the largest first, and emits the containers that are nearly full. What
 is left, with its content, is an item of the next round on an eighth of the partitions, up to a single one, which emits
-everything. A round that leaves most of its items unmerged shows that they don't fit together; then all is emitted as it is,
-so that no task ever gets more than STEP items at once and no round is in vain. Every round is written to the shared folder.
+everything. No task ever holds more than `step` items at once: beyond that the fuller half of its underfull containers goes on
+to the next round as it is. Items, which are narrow rows without their texts, are spread by hash before every round, so that each task sees
+all sizes in their shares, whatever their order; a round that leaves 99 % of more than `step` items unmerged shows that the others won't fit together either, and ends the packing.
+Every round is written to the shared folder.
 
 Items larger than the capacity are cut into full containers and a rest. Items of size 0 take no space; like all others
 they are in one container each, of at most `capacity` items. Null texts count as empty. An empty table gives no containers.
@@ -75,7 +77,7 @@ def best_fit(items: list[tuple[int, list]], capacity: int) -> list[tuple[int, li
     return list(zip(sizes, held))
 
 
-def pack_round(bins: DataFrame, capacity: int, nearly: float, last: bool) -> DataFrame:
+def pack_round(bins: DataFrame, capacity: int, nearly: float, last: bool, step: int) -> DataFrame:
     def emit(packed: list[tuple[int, list]], done: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([done] * len(packed), pa.bool_()), pa.array([s for s, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.list_(ITEM))], schema=BINS)
 
@@ -87,16 +89,17 @@ def pack_round(bins: DataFrame, capacity: int, nearly: float, last: bool) -> Dat
             packed = best_fit(waiting, capacity)
             full = [b for b in packed if b[0] >= nearly * capacity]
             waiting = [b for b in packed if b[0] < nearly * capacity]
-            if len(waiting) > STEP // 2:  # these don't fit together: the fuller half goes on as it is
-                waiting.sort(key=lambda b: b[0])
-                full, waiting = full + waiting[STEP // 4 :], waiting[: STEP // 4]
             if full:
                 yield emit(full, True)
+            if len(waiting) > step // 2:  # these don't fit together: the fuller ones meet others in the next round
+                waiting.sort(key=lambda b: b[0])
+                yield emit(waiting[step // 4 :], last)
+                waiting = waiting[: step // 4]
 
         for batch in batches:
             for size, content in zip(batch.column("size").to_pylist(), batch.column("items").to_pylist()):
                 waiting.append((size, content))
-                if len(waiting) >= STEP:
+                if len(waiting) >= step:
                     yield from settle()
         if waiting:
             yield from settle()
@@ -106,7 +109,7 @@ def pack_round(bins: DataFrame, capacity: int, nearly: float, last: bool) -> Dat
     return bins.select("size", "items").mapInArrow(run, BINS_SQL)
 
 
-def pack(sizes: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8, step: int = STEP) -> DataFrame:
     """(container, doc_id, position, part, tokens) from sizes (doc_id, tokens); part counts the pieces of a cut item."""
     spark = sizes.sparkSession
     keep = Scratch(spark).keep
@@ -120,17 +123,17 @@ def pack(sizes: DataFrame, capacity: int, nearly: float = 0.995, fan_in: int = 8
     left, n = items.filter(F.col("size") < capacity), cores(spark)
     before = None
     while True:
-        out = keep(pack_round(left if before is None else left.repartition(n, F.xxhash64("items")), capacity, nearly, n == 1 and before is not None))
+        out = keep(pack_round(left.repartition(n, F.xxhash64("items")), capacity, nearly, n == 1 and before is not None, step))
         done.append(out.filter("done").select("items"))
         left = out.filter("not done")
         count = left.count()
         if not count:
             break
-        if before is not None and count > 0.9 * before and count > STEP:
+        if before is not None and count > 0.99 * before and count > step:
             done.append(left.select("items"))
             break
         before = count
-        n = max(1, n // fan_in, -(-count // STEP))
+        n = max(1, n // fan_in, -(-count // step))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)

@@ -152,6 +152,15 @@ def test_every_item_is_packed_once(spark, kind):
         assert len(total) == 500
 
 
+def test_small_steps_leave_little_space(spark):
+    rng = random.Random(4)
+    sizes = [rng.randrange(60, 90) for _ in range(1500)] + [rng.randrange(10, 40) for _ in range(1500)]
+    rows = packed(spark, sizes, 100, step=150)
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(sizes)))
+    # no container holds two of the larger items, so that 1,500 are needed; without any merging there would be 3,000
+    assert len({r["container"] for r in rows}) <= 1900
+
+
 def test_best_fit_is_tight():
     item = lambda n, s: (s, [{"doc_id": n, "part": 0, "tokens": s}])
     got = packing.best_fit([item(i, s) for i, s in enumerate([6, 5, 4, 3, 2])], 10)
