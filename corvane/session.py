@@ -46,9 +46,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and one machine does all."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder, True)
@@ -63,10 +66,10 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/corvane-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df as a written table. Its rows are computed once."""
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df as a written table, in a folder for each value of `by`. Its rows are computed once."""
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
