@@ -5,8 +5,9 @@ seen again. Filters are merged pairwise: what two partitions both saw once, they
 filter of repeats holds are shuffled for exact grouping on the whole key; the others have no copy and stay where they
 are. A wrong positive costs one shuffled row and changes no result.
 
-The filters are of a fixed, stated size: 16 bits a row, at most max_bits. Beyond that they fill up and more
-rows are shuffled, still with exact results. Filters travel compressed, so that a part that saw little costs little.
+The filters have 16 bits a row. Where that is more than max_bits, hashes are cut into as many ranges as it takes, each written to
+a folder of its own and filtered by itself, so that a filter never fills up and the driver never holds more than one of max_bits.
+Filters travel compressed, so that a part that saw little costs little.
 
 A null key part counts as empty. An empty table gives no rows. Ties: the smallest id leads its group. Columns of the
 table besides the id and the key parts aren't read.
@@ -14,6 +15,7 @@ table besides the id and the key parts aren't read.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -78,15 +80,13 @@ def repeats_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return filled
 
 
-def filter_bits(rows: int, max_bits: int) -> int:
-    return min(max_bits, 1 << max(13, (16 * max(rows, 1) - 1).bit_length()))
+def filter_bits(rows: int) -> int:
+    return 1 << max(13, (16 * max(rows, 1) - 1).bit_length())
 
 
-def split_by_repeats(keyed: DataFrame, max_bits: int = 1 << 29) -> tuple[DataFrame, DataFrame]:
-    """keyed, with a column h, as the rows that may have a copy and those that have none."""
-    spark = keyed.sparkSession
-    bits = filter_bits(keyed.count(), max_bits)
-    shared = spark.sparkContext.broadcast(repeats_filter(keyed.select("h"), bits))
+def split_by_repeats(keyed: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """keyed, with a column h, as the rows that may have a copy and those that have none, by a filter of so many bits."""
+    shared = keyed.sparkSession.sparkContext.broadcast(repeats_filter(keyed.select("h"), bits))
 
     @F.pandas_udf("boolean")
     def may_repeat(h):  # noqa: ANN001, ANN202
@@ -106,7 +106,16 @@ def collapse(rows: DataFrame, row_id: str, key: list[Column], max_bits: int = 1
     keep = Scratch(rows.sparkSession).keep
     names = [f"k{i}" for i in range(len(key))]
     keyed = keep(rows.select(F.col(row_id).alias("row"), *[F.coalesce(k, F.lit("")).alias(n) for k, n in zip(key, names)]).withColumn("h", F.xxhash64(*names)))
-    maybe, alone = split_by_repeats(keyed, max_bits)
+    n = keyed.count()
+    ranges = -(-filter_bits(n) // max_bits)
+    if ranges == 1:
+        maybe, alone = split_by_repeats(keyed, filter_bits(n))
+    else:
+        part = F.pmod(F.shiftrightunsigned("h", 40), F.lit(ranges)).cast("int")
+        keyed = keep(keyed.withColumn("range", part), "range")
+        # by ranges of hashes; all copies of a row are in one
+        halves = [split_by_repeats(keyed.filter(F.col("range") == i).drop("range"), max_bits) for i in range(ranges)]
+        maybe, alone = (functools.reduce(DataFrame.unionByName, side) for side in zip(*halves))
     maybe = keep(maybe.drop("h"))
     groups = keep(maybe.groupBy(*names).agg(F.min("row").alias("group_id"), F.count(F.lit(1)).alias("copies")))
     all_groups = groups.select("group_id", "copies").unionByName(alone.select(F.col("row").alias("group_id"), F.lit(1).cast("bigint").alias("copies")))

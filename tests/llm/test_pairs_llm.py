@@ -18,7 +18,16 @@ def collapse(spark, rows, **kw):
     return sorted((r["group_id"], r["copies"]) for r in groups.collect()), sorted((r["row_id"], r["group_id"]) for r in members.collect())
 
 
-@pytest.mark.parametrize("max_bits", [1 << 29, 1 << 13])  # the second fills up: all rows are shuffled, results stay exact
+def test_ranges_of_filters_shuffle_no_more(spark):
+    df = spark.range(20_000).select((F.col("id") % 19_000).cast("string").alias("k0")).withColumn("h", F.xxhash64("k0"))
+    maybe, alone = formatting.split_by_repeats(df, formatting.filter_bits(20_000))
+    assert maybe.count() + alone.count() == 20_000 and 2_000 <= maybe.count() < 2_600
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 19_000).cast("string").alias("k"))
+    groups, members = formatting.collapse(rows, "row_id", [F.col("k")], max_bits=1 << 14)
+    assert groups.count() == 19_000 and members.count() == 2_000 and groups.filter("copies = 2").count() == 1_000
+
+
+@pytest.mark.parametrize("max_bits", [1 << 29, 1 << 13])  # the second takes ranges
 def test_collapse_against_a_dict(spark, max_bits):
     rng = random.Random(1)
     keys = ["hot" if rng.random() < 0.4 else f"k{rng.randrange(4000)}" for _ in range(5000)]
