@@ -171,22 +171,23 @@ def signatures(sets: DataFrame, t: float, hot: int, fill: float, index: bool) ->
 
 
 def short_of_segments(sets: DataFrame, t: float, fill: float) -> DataFrame:
-    """(id, h): the rarest values, H + 1 of them, of the sets that can't probe by segments."""
+    """(id, size, h): the size and the rarest values, H + 1 of them, of the sets that can't probe by segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = Sets(batch)
-            ids, hs, starts = [], [], np.concatenate([[0], np.cumsum(s.size)])
+            ids, sizes, hs, starts = [], [], [], np.concatenate([[0], np.cumsum(s.size)])
             short = probes(s, t, HEAVY, fill, 0)[3] | probes(s, t, HEAVY, fill, 1)[3] if batch.num_rows else np.zeros(0, bool)
             for r in np.flatnonzero(short):
                 n = needed(t, int(s.size[r]), 1, int(s.size[r]))
                 own = slice(starts[r], starts[r + 1])
                 rare = np.argsort(s.n[own], kind="stable")[:n]
                 ids += [s.id[r]] * len(rare)
+                sizes += [s.size[r]] * len(rare)
                 hs += s.h[own][rare].view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64())], names=["id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hs, pa.int64())], names=["id", "size", "h"])
 
-    return sets.select("id", "hs", "ns").mapInArrow(run, "id bigint, h bigint")
+    return sets.select("id", "hs", "ns").mapInArrow(run, "id bigint, size int, h bigint")
 
 
 def sum_of(*c: str) -> Column:
@@ -296,8 +297,10 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
     n_short = short.count()
     if n_short:
         mine = F.broadcast(short) if n_short <= BROADCAST_ROWS else short
-        other = reps.select(F.col("id").alias("o"), F.explode("hs").alias("h"))
-        more = other.join(mine, "h").filter("o <> id").select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b"))
+        mine = mine.withColumnRenamed("size", "ls")
+        other = reps.select(F.col("id").alias("o"), F.size("hs").alias("lo"), F.explode("hs").alias("h"))
+        fit = F.least("ls", "lo") >= F.lit(t) * F.greatest("ls", "lo") - F.lit(1e-9)
+        more = other.join(mine, "h").filter(fit & (F.col("o") != F.col("id"))).select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b"))
         found = found.unionByName(more).distinct()
     good = verified(found, reps, t)
     name = reps.select("id", "source")
@@ -316,9 +319,13 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of sources: between the members of classes that are alike, and within classes."""
-    many = members.filter("copies > 1").select("class_source", "source")
+    """All pairs of sources: between the members of classes that are alike, and within classes; large classes are spread under salts."""
+    several = members.filter("copies > 1")
+    many = several.select("class_source", "source")
     one = pairs.join(many.select(F.col("class_source").alias("source_a"), F.col("source").alias("a")), "source_a", "left").withColumn("a", F.coalesce("a", "source_a"))
     two = one.join(many.select(F.col("class_source").alias("source_b"), F.col("source").alias("b")), "source_b", "left").withColumn("b", F.coalesce("b", "source_b"))
-    same = many.select("class_source", F.col("source").alias("a")).join(many.select("class_source", F.col("source").alias("b")), "class_source").filter("a < b")
+    large = F.col("copies") > SALTS * SALTS
+    left = several.select("class_source", F.col("source").alias("a"), F.when(large, F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    right = several.select("class_source", F.col("source").alias("b"), F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    same = left.join(right, ["class_source", "salt"]).filter("a < b")
     return two.select(F.least("a", "b").alias("source_a"), F.greatest("a", "b").alias("source_b")).unionByName(same.select(F.col("a").alias("source_a"), F.col("b").alias("source_b"))).distinct()
