@@ -1,22 +1,26 @@
-"""Column profiles per load, from one pass over the rows.
+"""Column profiles per load, from one pass over the rows, by masks of character classes.
 
-Every value of every profiled column is counted per load (a map-side combined histogram), generalised to its mask of
-character classes, and rolled up value -> mask -> column. All figures of a column come from that one shuffle; no
-distinct count is expanded per column and no column is collected anywhere.
+Every value of every profiled column is counted per load (a map-side combined histogram) and generalised to its mask. Texts have
+runs of letters and digits as A, a and 9; numbers have the mask of their plain notation, computed without spelling them: a sign if
+negative, 0 or 9 for what stands before the point, .9 if anything follows it. Masks are rolled up to columns; dominant and rare masks,
+values off their domain and the distance between two loads all come from that small table.
+
+A mask tells for most values whether they are in their column's domain: it holds an interval of numbers that lies within the domain, or outside;
+only values of masks that reach across a bound are compared themselves. Shares of missing and of zero values can differ between two loads
+by no more than their masks do, so only columns whose masks diverge enough (Pinsker's bound) have them compared.
 
 Nulls and NaN are missing. An empty table gives no rows. Empty strings are values with the mask ''. Very long texts are
-counted as a hash of theirs and masked over their whole length. Names of the profiled table can't clash with
-those of the result, since values travel in columns of their own.
+masked over their whole length. Names of the profiled table can't clash with those of the result, since values travel in
+columns of their own.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.session import is_missing
-
 
 @dataclass(frozen=True)
 class Domain:
@@ -34,6 +38,33 @@ class Domain:
             bad = bad | (c > F.lit(float(self.high)))
         return bad | (c != F.floor(c)) if self.whole else bad
 
+    def of_mask(self, mask: str) -> bool | None:
+        """Whether all values of a number's mask are off the domain; None if only some are."""
+        if self.whole and mask.endswith(".9"):
+            return True
+        size, inf = mask.lstrip("-"), float("inf")
+        # the numbers of a mask: from a to b, ends that are whole included
+        a, b = {"0": (0.0, 0.0), "0.9": (0.0, 1.0), "9": (1.0, inf), "9.9": (1.0, inf), "inf": (inf, inf)}[size]
+        open_ends = size in ("0.9", "9.9")
+        if mask.startswith("-"):
+            a, b = -b, -a
+        low, high = -inf if self.low is None else self.low, inf if self.high is None else self.high
+        if low <= a and b <= high and (size != "inf" or self == Domain()):
+            return False
+        outside = (b <= low or a >= high) if open_ends else (b < low or a > high)
+        return True if outside else None
+
+
+NUMBER_MASKS = [sign + m for sign in ("", "-") for m in ("0", "0.9", "9", "9.9", "inf") if sign + m != "-0"]
+
+
+def number_mask(c: Column) -> Column:
+    """The mask of a number's plain notation; null for null."""
+    size = F.abs(c)
+    whole = size == F.floor(size)
+    place = F.when(size == float("inf"), "inf").when(size == 0, "0").when(size < 1, "0.9").when(whole, "9").otherwise("9.9")
+    return F.when(c.isNotNull(), F.concat(F.when(c < 0, "-").otherwise(""), place))
+
 
 def feature_domain(name: str) -> Domain:
     """The domain that the name of a pair feature implies."""
@@ -47,42 +78,64 @@ def feature_domain(name: str) -> Domain:
 
 
 def value_histogram(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """(part, k, text, num, n): how often each value of columns[k] occurs within each value of by."""
+    """(part, k, text, num, n): how often each value of columns[k] occurs within each value of by; text is null for floating columns.
+
+    Columns are unfolded by an expansion of each row. Floating ones are counted by numbers alone, which makes their keys fixed in size.
+    """
     kinds = dict(df.dtypes)
-    cells = []
-    for k, name in enumerate(columns):
+
+    def text(name: str) -> Column:
         c, kind = F.col(f"`{name}`"), kinds[name]
-        number = kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")
-        gone = is_missing(c, kind)
-        num = F.when(gone, None).otherwise(c.cast("double") + F.lit(0.0)) if number else F.lit(None).cast("double")
-        exact = kind not in ("double", "float")
-        if kind.startswith(("array", "map", "struct")):
-            c = F.to_json(c) if not kind.startswith("map") else F.to_json(F.array_sort(F.map_entries(c)))
-        cells.append(F.struct(F.lit(k).alias("k"), (c.cast("string") if exact else F.lit(None).cast("string")).alias("text"), num.alias("num")))
-    if not cells:
-        cells = [F.struct(F.lit(-1).alias("k"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("num"))]
-    long = df.select(F.col(f"`{by}`").alias("part"), F.explode(F.array(*cells)).alias("x")).select("part", "x.k", "x.text", "x.num")
-    return long.groupBy("part", "k", "text", "num").agg(F.count(F.lit(1)).alias("n"))
+        if kind.startswith("map"):
+            return F.to_json(F.array_sort(F.map_entries(c)))
+        return F.to_json(c) if kind.startswith(("array", "struct")) else c.cast("string")
+
+    def is_number(name: str) -> bool:
+        return kinds[name] in ("int", "bigint", "smallint", "tinyint") or kinds[name].startswith("decimal")
+
+    floats = [k for k, name in enumerate(columns) if kinds[name] in ("double", "float")]
+    others = [k for k in range(len(columns)) if k not in set(floats)]
+    number = lambda c: F.when(~F.isnan(c), c.cast("double") + F.lit(0.0))
+    wide = df.select(F.col(f"`{by}`").alias("part"), *[number(F.col(f"`{columns[k]}`")).alias(f"{k}") for k in floats])
+    parts = []
+    if floats:
+        parts.append(wide.unpivot(["part"], [f"{k}" for k in floats], "k", "num").groupBy("part", "k", "num").agg(F.count(F.lit(1)).alias("n")).select("part", F.col("k").cast("int").alias("k"), F.lit(None).cast("string").alias("text"), "num", "n"))
+    if others:
+        texts = df.select(F.col(f"`{by}`").alias("part"), *[text(columns[k]).alias(f"{k}") for k in others]).unpivot(["part"], [f"{k}" for k in others], "k", "text")
+        counted = texts.groupBy("part", "k", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.col("k").cast("int"))
+        whole = [k for k in others if is_number(columns[k])]
+        parts.append(counted.select("part", "k", "text", F.when(F.col("k").isin(whole), F.expr("try_cast(text as double)")).alias("num"), "n"))
+    if not parts:
+        return df.select(F.col(f"`{by}`").alias("part"), F.lit(-1).alias("k"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("num"), F.lit(1).cast("bigint").alias("n"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def off_domain(columns: list[str], domains: dict[str, Domain]) -> Column:
+    """Whether the value of a row (k, mask, num) is off its column's domain, by its mask where that settles it."""
+    bad = F.lit(False)
+    of: dict[Domain, list[int]] = {}
+    for k, name in enumerate(columns):
+        if name in domains:
+            of.setdefault(domains[name], []).append(k)
+    for domain, own in of.items():
+        settled = {verdict: [m for m in NUMBER_MASKS if domain.of_mask(m) is verdict] for verdict in (True, False)}
+        mine = F.when(F.col("mask").isin(settled[True]), True).when(F.col("mask").isin(settled[False]), False).otherwise(domain.broken(F.col("num")))
+        bad = F.when(F.col("k").isin(own), mine).otherwise(bad)
+    return F.coalesce(bad, F.lit(False))
 
 
 def mask_counts(df: DataFrame, by: str, columns: list[str], domains: dict[str, Domain] | None = None) -> DataFrame:
-    """(part, k, mask, values, rows, zeros, broken, low, high) for each mask of each column; the mask of missing is null."""
+    """(part, k, mask, values, rows, broken, low, high) for each mask of each column; the mask of missing is null, that of zero is 0."""
     from corvane.functions.text import mask
 
-    broken = F.lit(False)
-    for k, name in enumerate(columns):
-        if name in (domains or {}):
-            broken = F.when(F.col("k") == k, domains[name].broken(F.col("num"))).otherwise(broken)
-    text = F.coalesce("text", F.col("num").cast("string"))
-    zero = F.coalesce(F.col("num") == 0, F.lit(False))
     return (
         value_histogram(df, by, columns)
-        .withColumns({"mask": mask(text), "zero": zero, "off": F.coalesce(broken, F.lit(False))})
+        .withColumn("mask", F.when(F.col("num").isNull(), mask("text")).otherwise(number_mask(F.col("num"))))
+        .withColumn("off", off_domain(columns, domains or {}))
         .groupBy("part", "k", "mask")
         .agg(
             F.count(F.when(F.col("mask").isNotNull(), 1)).alias("values"),
             F.sum("n").alias("rows"),
-            F.sum(F.when(F.col("zero"), F.col("n")).otherwise(0)).alias("zeros"),
             F.sum(F.when(F.col("off"), F.col("n")).otherwise(0)).alias("broken"),
             F.min("num").alias("low"),
             F.max("num").alias("high"),
@@ -95,12 +148,16 @@ def named(columns: list[str]) -> Column:
 
 
 def profile(df: DataFrame, by: str, columns: list[str], domains: dict[str, Domain] | None = None, rare: float = 0.005) -> DataFrame:
+    """As profile_of, of the masks of df."""
+    return profile_of(mask_counts(df, by, columns, domains), columns, rare)
+
+
+def profile_of(masks: DataFrame, columns: list[str], rare: float = 0.005) -> DataFrame:
     """One row per load and column: counts, percentages, range, dominant mask, rows under rare masks, rows off the domain.
 
     A mask is rare if it holds less than `rare` of the column's nonmissing rows and isn't its dominant mask; the
     dominant mask is the most frequent, of equals the first in order.
     """
-    masks = mask_counts(df, by, columns, domains)
     every = Window.partitionBy("part", "k")
     order = every.orderBy(F.col("mask").isNull(), F.desc("rows"), "mask")
     present = F.col("mask").isNotNull()
@@ -112,7 +169,7 @@ def profile(df: DataFrame, by: str, columns: list[str], domains: dict[str, Domai
             F.sum("rows").alias("rows"),
             F.sum(F.when(present, F.col("rows")).otherwise(0)).alias("nonmissing"),
             F.sum("values").alias("unique_values"),
-            F.sum("zeros").alias("zeros"),
+            F.sum(F.when((F.col("mask") == "0") & F.col("low").isNotNull(), F.col("rows")).otherwise(0)).alias("zeros"),
             F.sum("broken").alias("off_domain"),
             F.min("low").alias("low"),
             F.max("high").alias("high"),
@@ -144,33 +201,48 @@ def rare_masks(df: DataFrame, by: str, columns: list[str], rare: float = 0.005)
 
 
 def mask_divergence(df: DataFrame, by: str, columns: list[str], previous: DataFrame) -> DataFrame:
-    """(load, previous_load, feature, divergence): Jensen-Shannon divergence, in bits, of the masks of a column in two loads.
+    """As divergence_of, of the masks of df."""
+    return divergence_of(mask_counts(df, by, columns), columns, previous).drop("present")
 
-    previous has (load, previous_load). Missing counts as a mask of its own, so that a change in missing values shows.
+
+def divergence_of(masks: DataFrame, columns: list[str], previous: DataFrame) -> DataFrame:
+    """(load, previous_load, feature, divergence, present): Jensen-Shannon divergence, in bits, of the masks of a column in two loads.
+
+    previous has (load, previous_load). For divergence missing counts as a mask of its own, so that a change in missing values shows;
+    present is the divergence among nonmissing values, null where either load has none.
     Loads that have no rows give no result. 0: alike; 1: no mask in common.
     """
     every = Window.partitionBy("part", "k")
-    p = mask_counts(df, by, columns).withColumn("p", F.col("rows") / F.sum("rows").over(every)).select("part", "k", F.coalesce("mask", F.lit("\0")).alias("mask"), "p")
+    own = F.when(F.col("mask").isNotNull(), F.col("rows"))
+    shares = {"p": F.col("rows") / F.sum("rows").over(every), "v": F.coalesce(own / F.sum(own).over(every), F.lit(0.0))}
+    p = masks.withColumns(shares).select("part", "k", F.coalesce("mask", F.lit("\0")).alias("mask"), "p", "v")
     pairs = previous.select("load", "previous_load").distinct().filter("previous_load is not null")
     loads = p.select(F.col("part").alias("load"), "k").distinct()
     both = pairs.join(loads, "load").join(loads.select(F.col("load").alias("previous_load"), "k"), ["previous_load", "k"])
-    new = both.join(p.withColumnRenamed("part", "load"), ["load", "k"]).select("load", "previous_load", "k", "mask", "p", F.lit(0.0).alias("q"))
-    old = both.join(p.select(F.col("part").alias("previous_load"), "k", "mask", F.col("p").alias("q")), ["previous_load", "k"]).select("load", "previous_load", "k", "mask", F.lit(0.0).alias("p"), "q")
-    m = (F.col("p") + F.col("q")) / 2
-    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
+    none = lambda *c: [F.lit(0.0).alias(x) for x in c]
+    new = both.join(p.withColumnRenamed("part", "load"), ["load", "k"]).select("load", "previous_load", "k", "mask", "p", "v", *none("q", "w"))
+    old = both.join(p.select(F.col("part").alias("previous_load"), "k", "mask", F.col("p").alias("q"), F.col("v").alias("w")), ["previous_load", "k"]).select("load", "previous_load", "k", "mask", *none("p", "v"), "q", "w")
+    part = lambda x, y: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) * 2 / (F.col(x) + F.col(y)))).otherwise(0.0)
+    present = F.when((F.sum("v") > 0) & (F.sum("w") > 0), F.sum(part("v", "w") + part("w", "v")) / 2)
     return (
         new.unionByName(old)
-        .groupBy("load", "previous_load", "k", "mask").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-        .groupBy("load", "previous_load", "k").agg((F.sum(part("p") + part("q")) / 2).alias("divergence"))
-        .select("load", "previous_load", named(columns).alias("feature"), "divergence")
+        .groupBy("load", "previous_load", "k", "mask").agg(*[F.sum(c).alias(c) for c in "pvqw"])
+        .groupBy("load", "previous_load", "k").agg((F.sum(part("p", "q") + part("q", "p")) / 2).alias("divergence"), present.alias("present"))
+        .select("load", "previous_load", named(columns).alias("feature"), "divergence", "present")
     )
 
 
-def findings(prof: DataFrame, stored: DataFrame, tolerance: float = 0.001, shift: float = 10.0) -> DataFrame:
+def least_divergence(shift: float) -> float:
+    """What the masks of two loads diverge by at least, in bits, where one mask's share differs by more than so many points."""
+    return (shift / 100) ** 2 / (2 * math.log(2)) * (1 - 1e-6)
+
+
+def findings(prof: DataFrame, stored: DataFrame, divergence: DataFrame, tolerance: float = 0.001, shift: float = 10.0) -> DataFrame:
     """(load, feature, finding): where a stored profile is wrong, values are off their domain, or a load differs from the one before.
 
     stored has load, previous_load, feature, missing_pct, zero_pct, unique_values; repeated rows count once, and of
     differing ones each is held against the rows. A stored row about a load without rows is wrong unless all of it is null.
+    divergence, as of divergence_of, says which columns moved enough for a shift to be possible; these are compared exactly.
     """
     now = prof.select("load", "feature", "missing_pct", "zero_pct", "unique_values", "off_domain")
     one = now.select("load", "feature", *[F.col(c).alias(f"own_{c}") for c in ("missing_pct", "zero_pct", "unique_values")])
@@ -182,6 +254,7 @@ def findings(prof: DataFrame, stored: DataFrame, tolerance: float = 0.001, shift
     wrong = off("missing_pct", "own_missing_pct", tolerance) | off("zero_pct", "own_zero_pct", tolerance) | off("unique_values", "own_unique_values", 0)
     before = now.select(F.col("load").alias("previous_load"), "feature", F.col("missing_pct").alias("old_missing"), F.col("zero_pct").alias("old_zero"))
     moved = held.select("load", "previous_load", "feature", "own_missing_pct", "own_zero_pct").distinct().join(before, ["previous_load", "feature"])
+    moved = moved.join(divergence.filter(F.greatest("divergence", "present") >= least_divergence(shift)), ["load", "previous_load", "feature"])
     change = lambda a, b: F.round(F.abs(F.round(F.col(a), 6) - F.round(F.col(b), 6)), 4) > shift
     as_row = lambda df, name: df.select("load", "feature", F.lit(name).alias("finding"))
     return (

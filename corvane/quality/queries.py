@@ -20,9 +20,10 @@ def stored_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    # the profile is loads x features rows, read three times
-    prof = Scratch(spark).keep(P.profile(table(spark, d, "ddinter_severity_dataset"), "load_id", FEATURES, DOMAINS))
-    found = P.findings(prof, stored_coverage(spark, d))
+    # loads x features x masks rows, from which all findings come
+    masks = Scratch(spark).keep(P.mask_counts(table(spark, d, "ddinter_severity_dataset"), "load_id", FEATURES, DOMAINS))
+    stored = stored_coverage(spark, d)
+    found = P.findings(P.profile_of(masks, FEATURES), stored, P.divergence_of(masks, FEATURES, stored))
     return found.select(F.col("load").cast("int").alias("load_id"), "feature", "finding")
 
 
@@ -103,6 +104,40 @@ UNION SELECT h.load_id, h.feature, 'zero_shift' FROM held h JOIN own p ON p.load
   WHERE round(abs(round(h.zp, 6) - round(p.zp, 6)), 4) > 10
 """
 
+_TEXTS = [c for c in EVERY if c not in FEATURES]
+_NUMBERS = ["drug_a_pubchem_cid", "drug_b_pubchem_cid"]
+
+
+def _unfolded(c: str) -> str:
+    num = f"CASE WHEN isnan({c}) THEN NULL ELSE {c} + 0.0 END" if c in FEATURES else f"CAST({c} AS DOUBLE)" if c in _NUMBERS else "CAST(NULL AS DOUBLE)"
+    text = "CAST(NULL AS VARCHAR)" if c in FEATURES else f"CAST({c} AS VARCHAR)"
+    return f"SELECT load_id, '{c}' AS feature, {text} AS t, {num} AS v FROM ddinter_severity_dataset"
+
+
+_TEXT_MASK = "t"
+for _runs, _sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}]+", "o"), (r"\p{Nd}+", "9"), (r"\s+", " ")):
+    _TEXT_MASK = f"regexp_replace({_TEXT_MASK}, '{_runs}', '{_sign}', 'g')"
+_MASK = f"""CASE WHEN v IS NULL THEN {_TEXT_MASK} ELSE CASE WHEN v < 0 THEN '-' ELSE '' END || CASE WHEN abs(v) = CAST('inf' AS DOUBLE) THEN 'inf' WHEN v = 0 THEN '0' WHEN abs(v) < 1 THEN '0.9'
+  WHEN abs(v) = floor(abs(v)) THEN '9' ELSE '9.9' END END"""
+_MASKS = f"""cells AS ({' UNION ALL '.join(_unfolded(c) for c in EVERY)}),
+hist AS (SELECT load_id, feature, t, v, count(*) AS n FROM cells GROUP BY ALL),
+masks AS (SELECT load_id, feature, {_MASK} AS mask, count(coalesce(t, CAST(v AS VARCHAR))) AS u, sum(n) AS rows, sum(CASE WHEN feature IN ({', '.join(f"'{c}'" for c in FEATURES)}) AND {_OFF} THEN n ELSE 0 END) AS off, min(v) AS low, max(v) AS high
+  FROM hist GROUP BY ALL)"""
+_P5_PROFILE = f"""WITH {_MASKS},
+w AS (SELECT *, sum(CASE WHEN mask IS NOT NULL THEN rows ELSE 0 END) OVER (PARTITION BY load_id, feature) AS total, row_number() OVER (PARTITION BY load_id, feature ORDER BY mask IS NULL, rows DESC, mask) AS place FROM masks)
+SELECT load_id, feature, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(CASE WHEN mask IS NOT NULL THEN rows ELSE 0 END) AS BIGINT) AS nonmissing, CAST(sum(CASE WHEN mask IS NULL THEN rows ELSE 0 END) AS BIGINT) AS missing,
+  round(100.0 * sum(CASE WHEN mask IS NULL THEN rows ELSE 0 END) / sum(rows), 6) AS missing_pct, round(100.0 * sum(CASE WHEN mask = '0' AND low IS NOT NULL THEN rows ELSE 0 END) / nullif(sum(CASE WHEN mask IS NOT NULL THEN rows ELSE 0 END), 0), 6) AS zero_pct,
+  CAST(sum(u) AS BIGINT) AS unique_values, CAST(sum(off) AS BIGINT) AS off_domain, min(low) AS low, max(high) AS high, count(mask) AS masks, max(CASE WHEN place = 1 THEN mask END) AS dominant_mask,
+  CAST(sum(CASE WHEN mask IS NOT NULL AND place > 1 AND rows < 0.005 * total THEN rows ELSE 0 END) AS BIGINT) AS rare_mask_rows FROM w GROUP BY load_id, feature"""
+_P5_RARE = f"""WITH {_MASKS}, w AS (SELECT *, CAST(rows AS DOUBLE) / sum(rows) OVER (PARTITION BY load_id, feature) AS share, row_number() OVER (PARTITION BY load_id, feature ORDER BY rows DESC, mask) AS place FROM masks WHERE mask IS NOT NULL)
+SELECT load_id, feature, mask, CAST(rows AS BIGINT) AS rows, round(share, 9) AS share FROM w WHERE share < 0.005 AND place > 1"""
+_P5_DIVERGENCE = f"""WITH {_MASKS}, p AS (SELECT load_id, feature, coalesce(mask, '?missing') AS mask, CAST(rows AS DOUBLE) / sum(rows) OVER (PARTITION BY load_id, feature) AS p FROM masks),
+pairs AS (SELECT DISTINCT load_id, previous_load_id FROM feature_coverage WHERE previous_load_id IS NOT NULL), loads AS (SELECT DISTINCT load_id, feature FROM p),
+both_ AS (SELECT a.load_id, a.previous_load_id, l.feature FROM pairs a JOIN loads l ON l.load_id = a.load_id JOIN loads m ON m.load_id = a.previous_load_id AND m.feature = l.feature),
+x AS (SELECT b.*, mask, p, 0.0 AS q FROM both_ b JOIN p ON p.load_id = b.load_id AND p.feature = b.feature UNION ALL SELECT b.*, mask, 0.0, p FROM both_ b JOIN p ON p.load_id = b.previous_load_id AND p.feature = b.feature),
+s AS (SELECT load_id, previous_load_id, feature, mask, sum(p) AS p, sum(q) AS q FROM x GROUP BY ALL)
+SELECT load_id, previous_load_id, feature, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 6) AS divergence FROM s GROUP BY ALL"""
+
 _LINES = rf"""
   SELECT line_id, source_file, loaded_at, regexp_replace(coalesce(raw_line, ''), chr(13) || '$', '') AS s FROM ddinter_source_lines"""
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
@@ -140,4 +175,4 @@ SELECT line_id, CAST(CAST(regexp_replace(f0, '[^0-9]', '', 'g') AS HUGEINT) AS V
   upper(left({sql_trim("f4")}, 1)) || lower(substr({sql_trim("f4")}, 2)) AS level, upper(regexp_extract(lower(source_file), 'code_([a-z])\\.csv', 1)) AS atc_category, loaded_at
 FROM bare WHERE {_LINE_FAULT} IS NULL"""
 
-SQL = {"p5_found": _P5_FOUND, "p7_found": _P7_FOUND, "p7_loaded": _P7_LOADED}
+SQL = {"p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p5_rare_masks": _P5_RARE, "p5_mask_divergence": _P5_DIVERGENCE, "p7_found": _P7_FOUND, "p7_loaded": _P7_LOADED}

@@ -119,7 +119,35 @@ def test_rare_masks_and_divergence(spark):
 
 
 def test_findings(spark):
-    prof = P.profile(spark.createDataFrame([(1, 0.0), (1, 1.0), (2, None), (2, 5.0)], "load int, x_jaccard double"), "load", ["x_jaccard"], {"x_jaccard": P.Domain(0, 1)})
+    df = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, None), (2, 5.0)], "load int, x_jaccard double")
+    masks = P.mask_counts(df, "load", ["x_jaccard"], {"x_jaccard": P.Domain(0, 1)})
     stored = spark.createDataFrame([(1, None, "x_jaccard", 0.0, 50.0, 2), (1, None, "x_jaccard", 0.0, 50.0, 2), (2, 1, "x_jaccard", 50.0, None, 1), (3, 2, "x_jaccard", None, None, None)], "load int, previous_load int, feature string, missing_pct double, zero_pct double, unique_values long")
-    got = sorted((r["load"], r["finding"]) for r in P.findings(prof, stored).collect())
+    got = sorted((r["load"], r["finding"]) for r in P.findings(P.profile_of(masks, ["x_jaccard"]), stored, P.divergence_of(masks, ["x_jaccard"], stored)).collect())
     assert got == [(2, "coverage_wrong"), (2, "invalid_value"), (2, "missing_shift"), (2, "zero_shift")]
+
+
+VALUES = [0.0, -0.0, 0.3, 1.0, 1.5, 2.0, 3.0, 1e300, 1e-300, float("inf"), -0.4, -1.0, -2.5, -7.0, float("-inf")]
+
+
+@pytest.mark.parametrize("domain", [P.Domain(0, 1), P.Domain(0, 1, True), P.Domain(0, 2, True), P.Domain(0), P.Domain(), P.Domain(-1.5, 2.5), P.Domain(None, 1)])
+def test_masks_never_say_otherwise_than_values(spark, domain):
+    df = spark.createDataFrame([(v,) for v in VALUES], "num double").withColumn("mask", P.number_mask(F.col("num"))).withColumn("k", F.lit(0))
+    rows = df.select("num", "mask", P.off_domain(["x"], {"x": domain}).alias("by_mask"), domain.broken(F.col("num")).alias("by_value")).collect()
+    assert all(r["by_mask"] == r["by_value"] for r in rows if abs(r["num"]) != float("inf") or not domain.whole), rows
+    assert {r["mask"] for r in rows} == set(P.NUMBER_MASKS)
+
+
+def test_masks_settle_most_values():
+    assert [P.Domain(0, 1).of_mask(m) for m in ("0", "0.9", "9", "9.9", "-9")] == [False, False, None, True, True]
+    assert [P.Domain(0, 2, True).of_mask(m) for m in ("0", "0.9", "9", "-0.9")] == [False, True, None, True]
+
+
+def test_no_shift_is_below_the_least_divergence():
+    import math
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        p, q = ([rng.random() ** 3 for _ in range(4)] for _ in range(2))
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        js = sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2
+        assert js >= P.least_divergence(100 * max(abs(x - y) for x, y in zip(p, q)))
