@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.ordered import running_sum
+from corvane.session import Scratch
 
 # The sets of neighbours of a compound, by relation.
 ROLES = {"ctd": "treated_disease", "cpd": "palliated_disease", "cbg": "bound_gene", "cug": "upregulated_gene", "cdg": "downregulated_gene", "ccse": "side_effect"}
@@ -35,31 +36,74 @@ def neighbours(edges: DataFrame, role: str) -> DataFrame:
 
 def compound_features(all_edges: DataFrame) -> DataFrame:
     """One row per compound: sizes of its sets, of their unions, and its degree, in which repeated rows count."""
-    near = ends(all_edges).groupBy("compound", "neighbour").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("rows"))
+    return features_of(ends(all_edges).groupBy("compound", "neighbour").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("rows")))
+
+
+def features_of(near: DataFrame) -> DataFrame:
+    """The same from (compound, neighbour, bits, rows)."""
     has = lambda roles: F.count_if(F.col("bits").bitwiseAND(F.lit(sum(BIT[r] for r in roles))) != 0)
     sizes = [has([r]).alias(r) for r in COUNTS]
     gene, disease = ([r for r in COUNTS if r.endswith(f"_{k}")] for k in ("gene", "disease"))
     return near.groupBy("compound").agg(F.sum("rows").alias("degree"), *sizes, has(gene).alias("gene"), has(disease).alias("disease"))
 
 
-def pair_scalars(pairs: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
-    """pairs (a, b) with the mean and the absolute difference of each feature; null unless both sides have features."""
-    side = lambda s: features.select(F.col("compound").alias(s), *[F.col(n).alias(f"{n}_{s}") for n in names])
-    got = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    out = []
-    for n in names:
-        x, y = F.col(f"{n}_a"), F.col(f"{n}_b")
-        out += [((x + y) / 2).alias(f"{n}_mean"), F.abs(x - y).cast("double").alias(f"{n}_abs_difference")]
-    return got.select("a", "b", *out)
-
-
-def pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with intersection, union and Jaccard of sets (compound, neighbour); two empty sets have a Jaccard of 0."""
-    size = sets.groupBy("compound").agg(F.count(F.lit(1)).alias("n"))
-    common = pairs.join(sets.withColumnRenamed("compound", "a"), "a").join(sets.withColumnRenamed("compound", "b"), ["b", "neighbour"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    got = pairs.join(common, ["a", "b"], "left").join(size.select(F.col("compound").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("compound").alias("b"), F.col("n").alias("nb")), "b", "left").fillna(0, ["common", "na", "nb"])
-    union = F.col("na") + F.col("nb") - F.col("common")
-    return got.select("a", "b", F.col("common").alias("intersection_count"), union.alias("union_count"), F.when(union == 0, 0.0).otherwise(F.col("common") / union).alias("jaccard"))
+#: The scalar features of a compound and the families of sets, by the name that they have in pair features.
+SCALARS = {"ctd_disease_count": "treated_disease", "cpd_disease_count": "palliated_disease", "side_effect_count": "side_effect", "pharmacologic_class_count": "pharmacologic_class", "resemblance_neighbor_count": "resemblance", "graph_degree": "degree"} | {f"{k}_count": k for k in COUNTS if k.endswith("_gene")}
+GENES = [r for r in COUNTS if r.endswith("_gene")]
+FAMILIES = {r: [r] for r in ("treated_disease", "side_effect", "pharmacologic_class", *GENES)} | {"gene": GENES}
+DESCRIPTORS = ("molecular_weight", "logp", "tpsa", "hbd", "hba", "rotatable_bonds")
+
+
+def presence(a: Column, b: Column, count: str, both: str) -> list[Column]:
+    return [(a.cast("int") + b.cast("int")).cast("double").alias(count), (a & b).cast("int").cast("double").alias(both)]
+
+
+def mean_and_difference(x: Column, y: Column, name: str) -> list[Column]:
+    return [((x + y) / 2).cast("double").alias(f"{name}_mean"), F.abs(x - y).cast("double").alias(f"{name}_abs_difference")]
+
+
+def graph_pair_features(pairs: DataFrame, all_edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """pairs (a, b), distinct, with their 41 features from the graph; a side may be null. All but the two availability features are null unless
+    both sides have an edge.
+
+    Neighbours are found in one pass over the edges, as bits of the families they are in, and met once for all families.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("compound")).filter("compound is not null").distinct()
+    near = ends(all_edges).groupBy("compound", "neighbour").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("rows"))
+    near = scratch.keep(near.join(named, "compound", "left_semi"))
+    sizes = scratch.keep(features_of(near))
+    side = lambda s: near.filter("bits <> 0").select(F.col("compound").alias(s), "neighbour", F.col("bits").alias(f"bits_{s}"))
+    has = lambda s, family: F.col(f"bits_{s}").bitwiseAND(F.lit(sum(BIT[r] for r in FAMILIES[family]))) != 0
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "neighbour"])
+    common = both.groupBy("a", "b").agg(*[F.count_if(has("a", f) & has("b", f)).alias(f"common_{f}") for f in FAMILIES])
+    of = lambda s: sizes.select(F.col("compound").alias(s), F.struct(*[c for c in sizes.columns if c != "compound"]).alias(f"of_{s}"))
+    x = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").join(common, ["a", "b"], "left")
+    out = presence(F.col("of_a").isNotNull(), F.col("of_b").isNotNull(), "hetionet_available_count", "both_hetionet_available")
+    for name, key in SCALARS.items():
+        out += mean_and_difference(F.col(f"of_a.{key}"), F.col(f"of_b.{key}"), f"graph_{name}")
+    there = F.col("of_a").isNotNull() & F.col("of_b").isNotNull()
+    for f in FAMILIES:
+        shared = F.coalesce(f"common_{f}", F.lit(0))
+        union = F.col(f"of_a.{f}") + F.col(f"of_b.{f}") - shared
+        out += [F.when(there, shared).cast("double").alias(f"{f}_intersection_count"), union.cast("double").alias(f"{f}_union_count"), F.when(union == 0, 0.0).otherwise(shared / union).alias(f"{f}_jaccard")]
+    return x.select("a", "b", *out)
+
+
+def molecular_pair_features(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """pairs (a, b), distinct, with 14 features from a table of descriptors (compound, and one column each); null unless both sides are in it."""
+    of = lambda s: descriptors.select(F.col("compound").alias(s), F.struct(*DESCRIPTORS).alias(f"of_{s}"))
+    x = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    out = presence(F.col("of_a").isNotNull(), F.col("of_b").isNotNull(), "structure_available_count", "both_structures_available")
+    for d in DESCRIPTORS:
+        out += mean_and_difference(F.col(f"of_a.{d}"), F.col(f"of_b.{d}"), d)
+    return x.select("a", "b", *out)
+
+
+def with_pair_features(rows: DataFrame, sides: tuple[str, str], features: DataFrame) -> DataFrame:
+    """rows with the features of their pair of sides; a null side is like one that no table knows."""
+    a, b = sides
+    keyed = features.withColumnsRenamed({"a": "__a", "b": "__b"})
+    return rows.join(keyed, F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b")), "left").drop("__a", "__b")
 
 
 def exact_quantiles(histogram: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:

@@ -37,6 +37,24 @@ def resolve(terms: DataFrame, catalog: DataFrame) -> DataFrame:
     return got.withColumn("n", first).filter("id is null or n = 1").drop("n")
 
 
+def best_match(terms: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(pos, term, id, name) of requests (pos, term): by id as given, else the first node by relevance whose name the term is, begins or is held by."""
+    by_id = catalog.select(F.col("id").alias("term"), F.col("id").alias("id1"), F.col("name").alias("name1"))
+    got = terms.withColumn("term", F.trim("term")).join(by_id, "term", "left")
+    word, name = search_term("term"), F.lower("name")
+    rank = F.when(name == word, 0).when(F.startswith(name, word), 1).otherwise(2)
+    # requests are some ten rows
+    hits = catalog.join(F.broadcast(got.filter("id1 is null and term <> ''").select("pos", "term")), F.contains(name, word))
+    best = hits.groupBy("pos").agg(F.min(F.struct(rank.alias("r"), "name", "id")).alias("b"))
+    return got.join(best, "pos", "left").select("pos", "term", F.coalesce("id1", "b.id").alias("id"), F.coalesce("name1", "b.name").alias("name"))
+
+
+def endpoints(edges: DataFrame, nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """The nodes at either end of the edges, and those of more (id); ends that aren't nodes are left out."""
+    ids = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).unionByName(more.select("id")).distinct()
+    return nodes.join(ids, "id", "left_semi")
+
+
 def named(edges: DataFrame, nodes: DataFrame, metaedges: tuple[str, ...]) -> DataFrame:
     """Edges of some relations with the names of both ends; edges that lack an end are left out."""
     s = nodes.select(F.col("id").alias("source"), F.col("name").alias("source_name"))
@@ -49,9 +67,9 @@ def treating(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return named(edges, nodes, ("ctd",)).select(F.col("source").alias("drug"), F.col("source_name").alias("drug_name"), F.col("target").alias("disease"))
 
 
-def targets_by_count(treating: DataFrame, n: int, least: int = 3) -> DataFrame:
-    """The n diseases that the fewest compounds treat, of those that `least` treat: a request that grows with no table."""
-    return treating.groupBy("disease").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).orderBy("k", "disease").limit(n).select("disease")
+def most_treated(treating: DataFrame, n: int) -> DataFrame:
+    """The n diseases that the most compounds treat."""
+    return treating.groupBy("disease").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "disease").limit(n).select("disease")
 
 
 def treatments(treating: DataFrame, diseases: list[str]) -> DataFrame:
@@ -60,11 +78,9 @@ def treatments(treating: DataFrame, diseases: list[str]) -> DataFrame:
     return t.groupBy("drug").agg(F.min("drug_name").alias("drug_name"), F.array_sort(F.collect_set("disease")).alias("disease_ids")).withColumn("covered", F.size("disease_ids"))
 
 
-def in_order(treatments: DataFrame, few: bool = False) -> DataFrame:
-    """treatments with pos, their place: most diseases first, then by name and id. few: a small local table is ranked at once."""
+def in_order(treatments: DataFrame) -> DataFrame:
+    """treatments with pos, their place: most diseases first, then by name and id."""
     order = [F.desc("covered"), F.col("drug_name").asc_nulls_last(), F.col("drug")]
-    if few:
-        return treatments.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     # names by their first two signs, nulls behind all; at most some thousand buckets
     begin = F.coalesce(F.concat(F.lit("0"), F.substring("drug_name", 1, 2)), F.lit("1"))
     return rank_within(treatments, [], F.concat(F.lpad((F.lit(10**6) - F.col("covered")).cast("string"), 7, "0"), begin), order, "pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.functions.names import normal_name
 from corvane.functions.ordered import rank_by_digest
 from corvane.functions.text import bare, filled, folded, is_blank, valid_drug_id
 
@@ -56,15 +57,10 @@ def drug_dimension(pairs: DataFrame) -> DataFrame:
     return side("a").unionByName(side("b")).groupBy("id").agg(F.min("name").alias("name"))
 
 
-def plain_name(c: Column | str) -> Column:
-    """Lower case, whitespace runs as one space. For names beyond ASCII see functions.names.normal_name."""
-    return F.trim(F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), r"\s+", " "))
-
-
 def map_names(drugs: DataFrame, compounds: DataFrame) -> DataFrame:
     """(id, compound, status): exact_name for one compound of the name, ambiguous for several, unmapped for none."""
-    by = compounds.select(plain_name("name").alias("k"), F.col("id").alias("c")).filter("k is not null").groupBy("k").agg(F.countDistinct("c").alias("n"), F.min("c").alias("c"))
-    got = drugs.withColumn("k", plain_name("name")).join(by, "k", "left")
+    by = compounds.select(normal_name(F.col("name")).alias("k"), F.col("id").alias("c")).filter("k is not null").groupBy("k").agg(F.countDistinct("c").alias("n"), F.min("c").alias("c"))
+    got = drugs.withColumn("k", normal_name(F.col("name"))).join(by, "k", "left")
     status = F.when(F.col("n") == 1, "exact_name").when(F.col("n") > 1, "ambiguous").otherwise("unmapped")
     return got.select("id", F.when(F.col("n") == 1, F.col("c")).alias("compound"), status.alias("status"))
 
@@ -74,12 +70,36 @@ def classify_structure(rows: DataFrame) -> DataFrame:
     s = folded("structure_status")
     rule = (
         F.when(s == "excluded_multiple_candidates", "ambiguous").when(F.col("pubchem_cid").isNull() & (s == "query_error"), "rejected").when(F.col("pubchem_cid").isNull(), "unmapped")
-        .when(~F.coalesce(plain_name(filled("pubchem_title")) == plain_name(filled("ddinter_name")), F.lit(False)), "ambiguous")
+        .when(~F.coalesce(normal_name(filled("pubchem_title")) == normal_name(filled("ddinter_name")), F.lit(False)), "ambiguous")
         .when(is_blank("smiles") | is_blank("inchikey"), "rejected").otherwise("exact_unique")
     )
     return rows.withColumn("found", rule)
 
 
+def unexpected_levels(rows: DataFrame) -> DataFrame:
+    """(level, n): levels that rows have besides the allowed ones, blank ones left out."""
+    level = folded("Level")
+    return rows.filter((level != "") & ~level.isin(*LABELS)).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def require_levels(rows: DataFrame) -> DataFrame:
+    """rows, if no level is unexpected; raises otherwise, naming at most ten."""
+    if bad := [r["level"] for r in unexpected_levels(rows).orderBy("level").limit(10).collect()]:
+        raise ValueError(f"unexpected levels: {bad}")
+    return rows
+
+
+def validate_mapping(rows: DataFrame) -> DataFrame:
+    """(check_name, violations) of a structure mapping: accepted rows have an id, a structure and a key; statuses are known. Raises where columns are missing."""
+    missing = {"ddinter_id", "mapping_status", "pubchem_cid", "smiles", "inchikey"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"mapping lacks {sorted(missing)}")
+    accepted = folded("mapping_status") == "exact_unique"
+    bad = {"accepted_without_cid": accepted & F.col("pubchem_cid").isNull(), "accepted_without_structure": accepted & is_blank("smiles"), "accepted_without_key": accepted & is_blank("inchikey"), "blank_id": is_blank("ddinter_id")}
+    one = rows.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in bad.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("violations")) for k in bad])).alias("x")).select("x.*")
+
+
 def two_sided(pairs: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
     """pairs with value_a and value_b, looked up for both sides."""
     one = lambda s: mapping.select(F.col(key).alias(f"id_{s}"), F.col(value).alias(f"{value}_{s}"))
@@ -90,6 +110,18 @@ def coverage_class(a: Column, b: Column, word: str) -> Column:
     return F.when(a & b, f"both_{word}").when(a, f"only_drug_a_{word}").when(b, f"only_drug_b_{word}").otherwise(f"neither_{word}")
 
 
+def one_sided_class(a: Column, b: Column, word: str) -> Column:
+    """As coverage_class, whichever the one side is."""
+    return F.when(a & b, f"both_{word}").when(a | b, f"one_{word}").otherwise(f"neither_{word}")
+
+
+def latest_structures(rows: DataFrame) -> DataFrame:
+    """(id, cid, found, smiles): what the latest row of each drug, by its bare id, amounts to."""
+    order = ["retrieved_at", F.coalesce("pubchem_cid", F.lit(-1)), *[F.coalesce(c, F.lit("")) for c in ("structure_status", "ddinter_id", "ddinter_name", "pubchem_title", "smiles", "inchikey")]]
+    x = classify_structure(rows).groupBy(bare("ddinter_id").alias("id"))
+    return x.agg(F.max_by(F.struct(F.col("pubchem_cid").alias("cid"), "found", filled("smiles").alias("smiles")), F.struct(*order)).alias("x")).select("id", "x.*")
+
+
 def stratified(df: DataFrame, label: str, key: str, test: float = 0.2) -> DataFrame:
     """df with split: of each label the first round(test x n) by the digest of the key are test."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))

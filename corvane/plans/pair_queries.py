@@ -8,8 +8,9 @@ from corvane.functions.names import normal_name
 from corvane.functions.text import ATC, filled, folded
 from corvane.operators import features as X, metrics as M, pairs as P
 from corvane.quality import profile as R
+from corvane.session import Scratch
 from corvane.sources import graph as S
-from corvane.sources.tables import FEATURES, table
+from corvane.sources.tables import FEATURES, METADATA, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +35,34 @@ def _bare(c: str) -> str:
     return rf"lower(regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{Nd}}]', '', 'g'))"
 
 
+def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that compatibility forms and case folding turn into another one, what they turn into, and those that turn into several."""
+    import unicodedata
+
+    one, to, more = [], [], []
+    for k in [*range(0x80, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        c = chr(k)
+        if unicodedata.category(c) in ("Cn", "Cs", "Mn") or c.lower() != c:
+            continue
+        f = unicodedata.normalize("NFKC", c).casefold()
+        if f != c and len(f) == 1:
+            one.append(c), to.append(f)
+        elif f != c and k < 0x100 or 0xFB00 <= k < 0xFB07 or k == 0x2122:
+            more.append((c, f))
+    return "".join(one).replace("'", "''"), "".join(to).replace("'", "''"), more
+
+
+_ONE, _TO, _MORE = _fold_tables()
+
+
+def _fold(c: str) -> str:
+    """SQL of normal_name, for letters of Latin, Greek and Cyrillic, ligatures and wide forms."""
+    out = f"translate(lower(nfc_normalize({c})), '{_ONE}', '{_TO}')"
+    for old, new in _MORE:
+        out = f"replace({out}, '{old}', '{new}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
 _PAIRS = f"""WITH r AS (SELECT row_id, {_bare("DDInterID_A")} AS a, {_bare("DDInterID_B")} AS b, {_t("DDInterID_A")} AS ra, {_t("DDInterID_B")} AS rb, {_t("Drug_A")} AS da, {_t("Drug_B")} AS db,
   {_t("Level")} AS lv, {_t("source_file")} AS source_file, {_t("atc_category")} AS atc FROM ddinter_malformed_rows),
 pairs AS (SELECT row_id, least(a, b) AS id_a, greatest(a, b) AS id_b, CASE WHEN a > b THEN db ELSE da END AS name_a, CASE WHEN a > b THEN da ELSE db END AS name_b, lower(lv) AS level, a > b AS turned,
@@ -110,8 +139,8 @@ def drug_dimension(spark: SparkSession, d: str) -> DataFrame:
     return P.drug_dimension(pairs(spark, d))
 
 
-_MAPPED = rf"""{_DRUGS}, {S.SQL}, byname AS (SELECT trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS k, count(DISTINCT id) AS n, min(id) AS c FROM nodes WHERE kind = 'compound' AND name IS NOT NULL GROUP BY 1),
-mapped AS (SELECT d.id, CASE WHEN n = 1 THEN c END AS compound, CASE WHEN n = 1 THEN 'exact_name' WHEN n > 1 THEN 'ambiguous' ELSE 'unmapped' END AS status FROM drugs d LEFT JOIN byname ON k = trim(regexp_replace(lower(d.name), '\s+', ' ', 'g')))"""
+_MAPPED = rf"""{_DRUGS}, {S.SQL}, byname AS (SELECT {_fold("name")} AS k, count(DISTINCT id) AS n, min(id) AS c FROM nodes WHERE kind = 'compound' AND name IS NOT NULL GROUP BY 1),
+mapped AS (SELECT d.id, CASE WHEN n = 1 THEN c END AS compound, CASE WHEN n = 1 THEN 'exact_name' WHEN n > 1 THEN 'ambiguous' ELSE 'unmapped' END AS status FROM drugs d LEFT JOIN byname ON k = {_fold("d.name")})"""
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -123,16 +152,16 @@ def name_mapping(spark: SparkSession, d: str) -> DataFrame:
     return mapped(spark, d)
 
 
-@query(rf"SELECT id, trim(regexp_replace(lower(nfc_normalize(name)), '\s+', ' ', 'g')) AS k FROM (SELECT DISTINCT {_t('id')} AS id, {_t('name')} AS name FROM fragment_nodes) WHERE name IS NOT NULL AND regexp_full_match(name, '[ -~]*')")
+@query(f"SELECT id, {_fold('name')} AS k FROM (SELECT DISTINCT {_t('id')} AS id, {_t('name')} AS name FROM fragment_nodes) WHERE name IS NOT NULL")
 def normal_names(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised names of nodes; held against SQL where they are ASCII, as SQL has no full case folding."""
+    """Normalised names of all nodes."""
     n = table(spark, d, "fragment_nodes").select(filled("id").alias("id"), filled("name").alias("name")).distinct().filter("name is not null")
-    return n.filter(F.col("name").rlike(r"^[ -~]*$")).select("id", normal_name(F.col("name")).alias("k"))
+    return n.select("id", normal_name(F.col("name")).alias("k"))
 
 
-_LATEST = f"""latest AS (SELECT *, row_number() OVER (PARTITION BY ddinter_id ORDER BY retrieved_at DESC NULLS LAST, coalesce(pubchem_cid, -1) DESC, coalesce(structure_status, '') DESC) AS k FROM ddinter_pubchem_mapping)"""
+_LATEST = f"""latest AS (SELECT *, row_number() OVER (PARTITION BY {_bare("ddinter_id")} ORDER BY retrieved_at DESC NULLS LAST, coalesce(pubchem_cid, -1) DESC, {", ".join(f"coalesce({c}, '') DESC" for c in ("structure_status", "ddinter_id", "ddinter_name", "pubchem_title", "smiles", "inchikey"))}) AS k FROM ddinter_pubchem_mapping)"""
 _RULE = rf"""CASE WHEN lower({_t("structure_status")}) = 'excluded_multiple_candidates' THEN 'ambiguous' WHEN pubchem_cid IS NULL AND lower({_t("structure_status")}) = 'query_error' THEN 'rejected' WHEN pubchem_cid IS NULL THEN 'unmapped'
-WHEN NOT coalesce(trim(regexp_replace(lower({_t("pubchem_title")}), '\s+', ' ', 'g')) = trim(regexp_replace(lower({_t("ddinter_name")}), '\s+', ' ', 'g')), false) THEN 'ambiguous'
+WHEN NOT coalesce({_fold(_t("pubchem_title"))} = {_fold(_t("ddinter_name"))}, false) THEN 'ambiguous'
 WHEN {_t("smiles")} IS NULL OR {_t("inchikey")} IS NULL THEN 'rejected' ELSE 'exact_unique' END"""
 
 
@@ -153,18 +182,20 @@ def pair_mapping_coverage(spark: SparkSession, d: str) -> DataFrame:
     return got.select("pair_id", P.coverage_class(F.col("compound_a").isNotNull(), F.col("compound_b").isNotNull(), "mapped").alias("coverage"))
 
 
-@query(f"""{_PAIRS}, {_LATEST}, st AS (SELECT {_bare("ddinter_id")} AS id, bool_or({_RULE} = 'exact_unique') AS ok FROM latest WHERE k = 1 GROUP BY 1), p AS (SELECT DISTINCT id_a, id_b, pair_id FROM pairs)
-SELECT pair_id, {_cover("coalesce(a.ok, false)", "coalesce(b.ok, false)", "structured")} AS coverage FROM p LEFT JOIN st a ON a.id = id_a LEFT JOIN st b ON b.id = id_b""")
-def pair_structure_coverage(spark: SparkSession, d: str) -> DataFrame:
-    from corvane.functions.text import bare
+_ST = f"""{_LATEST}, st AS (SELECT {_bare("ddinter_id")} AS id, pubchem_cid AS cid, {_RULE} AS found, {_t("smiles")} AS smiles FROM latest WHERE k = 1)"""
+
 
-    m = P.classify_structure(table(spark, d, "ddinter_pubchem_mapping"))
-    order = F.struct("retrieved_at", F.coalesce("pubchem_cid", F.lit(-1)), F.coalesce("structure_status", F.lit("")))
-    last = m.groupBy("ddinter_id").agg(F.max_by("found", order).alias("found"))
-    ok = last.groupBy(bare("ddinter_id").alias("id")).agg(F.bool_or(F.col("found") == "exact_unique").alias("ok"))
-    got = P.two_sided(pairs(spark, d).select("id_a", "id_b", "pair_id").distinct(), ok, "id", "ok")
+def _one_sided(x: str, y: str) -> str:
+    return f"CASE WHEN {x} AND {y} THEN 'both_structured' WHEN {x} OR {y} THEN 'one_structured' ELSE 'neither_structured' END"
+
+
+@query(f"""{_PAIRS}, {_ST}, p AS (SELECT DISTINCT id_a, id_b, pair_id FROM pairs)
+SELECT pair_id, {_one_sided("coalesce(a.found = 'exact_unique', false)", "coalesce(b.found = 'exact_unique', false)")} AS coverage FROM p LEFT JOIN st a ON a.id = id_a LEFT JOIN st b ON b.id = id_b""")
+def pair_structure_coverage(spark: SparkSession, d: str) -> DataFrame:
+    st = P.latest_structures(table(spark, d, "ddinter_pubchem_mapping")).withColumn("ok", F.col("found") == "exact_unique")
+    got = P.two_sided(pairs(spark, d).select("id_a", "id_b", "pair_id").distinct(), st, "id", "ok")
     t = lambda c: F.coalesce(c, F.lit(False))
-    return got.select("pair_id", P.coverage_class(t("ok_a"), t("ok_b"), "structured").alias("coverage"))
+    return got.select("pair_id", P.one_sided_class(t("ok_a"), t("ok_b"), "structured").alias("coverage"))
 
 
 @query(f"{_PAIRS} SELECT row_id, pair_id, level = 'unknown' AS aside FROM pairs")
@@ -216,44 +247,101 @@ def compound_set_features(spark: SparkSession, d: str) -> DataFrame:
     return X.compound_features(S.all_edges(spark, d))
 
 
-_SC = ["side_effect", "bound_gene", "degree"]
+_FAM = f"""fam AS (SELECT DISTINCT compound, family, neighbour FROM near JOIN (VALUES {", ".join(f"('{r}', '{f}')" for f, roles in X.FAMILIES.items() for r in roles)}) AS m(role, family) ON m.role = near.role)"""
 
 
-@query(f"""{_CF}, {_PP} SELECT pp.a, pp.b, {", ".join(f"(x.{n} + y.{n}) / 2.0 AS {n}_mean, CAST(abs(x.{n} - y.{n}) AS DOUBLE) AS {n}_abs_difference" for n in _SC)}
-FROM pp LEFT JOIN cf x ON x.compound = pp.a LEFT JOIN cf y ON y.compound = pp.b""")
-def pair_graph_scalars(spark: SparkSession, d: str) -> DataFrame:
-    return X.pair_scalars(graph_pairs(spark, d), X.compound_features(S.all_edges(spark, d)), _SC)
+def _graph_features(pp: str, name: str) -> str:
+    """CTEs that end in `name`: pairs (a, b) of the CTE pp with their features of the graph."""
+    shared = ", ".join(f"sum(CASE WHEN x.family = '{f}' THEN 1 ELSE 0 END) AS common_{f}" for f in X.FAMILIES)
+    cols = ["CAST(CAST(x.compound IS NOT NULL AS INT) + CAST(y.compound IS NOT NULL AS INT) AS DOUBLE) AS hetionet_available_count", "CAST(CAST(x.compound IS NOT NULL AND y.compound IS NOT NULL AS INT) AS DOUBLE) AS both_hetionet_available"]
+    cols += [f"(x.{k} + y.{k}) / 2.0 AS graph_{n}_mean, CAST(abs(x.{k} - y.{k}) AS DOUBLE) AS graph_{n}_abs_difference" for n, k in X.SCALARS.items()]
+    for f in X.FAMILIES:
+        c, u = f"coalesce(common_{f}, 0)", f"(x.{f} + y.{f} - coalesce(common_{f}, 0))"
+        cols.append(f"CAST(CASE WHEN x.compound IS NOT NULL AND y.compound IS NOT NULL THEN {c} END AS DOUBLE) AS {f}_intersection_count, CAST({u} AS DOUBLE) AS {f}_union_count, CASE WHEN {u} = 0 THEN 0.0 ELSE CAST({c} AS DOUBLE) / {u} END AS {f}_jaccard")
+    return f"""{name}_c AS (SELECT a, b, {shared} FROM {pp} JOIN fam x ON x.compound = a JOIN fam y ON y.compound = b AND y.family = x.family AND y.neighbour = x.neighbour GROUP BY a, b),
+{name} AS (SELECT p.a, p.b, {", ".join(cols)} FROM {pp} p LEFT JOIN cf x ON x.compound = p.a LEFT JOIN cf y ON y.compound = p.b LEFT JOIN {name}_c c ON c.a = p.a AND c.b = p.b)"""
 
 
-@query(f"""{_NEAR}, {_PP}, g AS (SELECT * FROM near WHERE role = 'side_effect'), s AS (SELECT compound, count(*) AS n FROM g GROUP BY compound),
-c AS (SELECT a, b, count(*) AS c FROM pp JOIN g x ON x.compound = a JOIN g y ON y.compound = b AND y.neighbour = x.neighbour GROUP BY a, b),
-u AS (SELECT pp.a, pp.b, coalesce(c, 0) AS i, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(c, 0) AS u FROM pp LEFT JOIN c ON c.a = pp.a AND c.b = pp.b LEFT JOIN s x ON x.compound = pp.a LEFT JOIN s y ON y.compound = pp.b)
-SELECT a, b, i AS intersection_count, u AS union_count, CASE WHEN u = 0 THEN 0.0 ELSE CAST(i AS DOUBLE) / u END AS jaccard FROM u""")
-def pair_graph_sets(spark: SparkSession, d: str) -> DataFrame:
-    return X.pair_sets(graph_pairs(spark, d), X.neighbours(S.all_edges(spark, d), "side_effect"))
+def _count(sign: str) -> str:
+    return f"CAST(length(smiles) - length(replace(smiles, '{sign}', '')) AS DOUBLE)"
+
+
+_DESCRIPTORS = f"""descriptors AS (SELECT cid AS compound, CASE WHEN isnan(molecular_weight) THEN NULL ELSE molecular_weight END AS molecular_weight, {_count("C")} / 10.0 AS logp, {_count("O")} * 20.0 AS tpsa, {_count("N")} AS hbd, {_count("O")} AS hba, {_count("C")} - {_count("1")} AS rotatable_bonds
+  FROM pubchem_compounds WHERE {_t("smiles")} IS NOT NULL)"""
+
+
+def _molecular_features(mp: str, name: str) -> str:
+    cols = ["CAST(CAST(x.compound IS NOT NULL AS INT) + CAST(y.compound IS NOT NULL AS INT) AS DOUBLE) AS structure_available_count", "CAST(CAST(x.compound IS NOT NULL AND y.compound IS NOT NULL AS INT) AS DOUBLE) AS both_structures_available"]
+    cols += [f"(x.{k} + y.{k}) / 2.0 AS {k}_mean, abs(x.{k} - y.{k}) AS {k}_abs_difference" for k in X.DESCRIPTORS]
+    return f"{name} AS (SELECT p.a, p.b, {', '.join(cols)} FROM {mp} p LEFT JOIN descriptors x ON x.compound = p.a LEFT JOIN descriptors y ON y.compound = p.b)"
 
 
-_W = "w AS (SELECT cid, CASE WHEN isnan(molecular_weight) THEN NULL ELSE molecular_weight END AS m FROM pubchem_compounds)"
+GRAPH_FEATURES, MOLECULAR_FEATURES = FEATURES[: FEATURES.index("structure_available_count")], FEATURES[FEATURES.index("structure_available_count") :]
+_SCALAR_NAMES, _SET_NAMES = [c for c in GRAPH_FEATURES[2:] if c.startswith("graph_")], [c for c in GRAPH_FEATURES[2:] if not c.startswith("graph_")]
+_GF = f"{_CF}, {_FAM}, {_PP}, {_graph_features('pp', 'gf')}"
 
 
-@query(f"""WITH {_W}, p AS (SELECT DISTINCT drug_a_pubchem_cid AS a, drug_b_pubchem_cid AS b FROM ddinter_severity_dataset WHERE drug_a_pubchem_cid IS NOT NULL AND drug_b_pubchem_cid IS NOT NULL)
-SELECT p.a, p.b, (x.m + y.m) / 2 AS molecular_weight_mean, abs(x.m - y.m) AS molecular_weight_abs_difference FROM p LEFT JOIN w x ON x.cid = a LEFT JOIN w y ON y.cid = b""")
+def descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """A table of descriptors. Only the weight is real: nothing here computes the others from structures, so that counts of signs stand in for them."""
+    c = table(spark, d, "pubchem_compounds").filter(filled("smiles").isNotNull())
+    n = lambda sign: F.length("smiles").cast("double") - F.length(F.replace("smiles", F.lit(sign), F.lit(""))).cast("double")
+    return c.select(F.col("cid").alias("compound"), F.when(~F.isnan("molecular_weight"), F.col("molecular_weight")).alias("molecular_weight"), (n("C") / 10.0).alias("logp"), (n("O") * 20.0).alias("tpsa"), n("N").alias("hbd"), n("O").alias("hba"), (n("C") - n("1")).alias("rotatable_bonds"))
+
+
+def graph_features(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    return X.graph_pair_features(p, S.all_edges(spark, d), Scratch(spark))
+
+
+@query(f"{_GF} SELECT a, b, hetionet_available_count, both_hetionet_available, {', '.join(_SCALAR_NAMES)} FROM gf")
+def pair_graph_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return graph_features(spark, d, graph_pairs(spark, d)).select("a", "b", *GRAPH_FEATURES[:2], *_SCALAR_NAMES)
+
+
+@query(f"{_GF} SELECT a, b, {', '.join(_SET_NAMES)} FROM gf")
+def pair_graph_sets(spark: SparkSession, d: str) -> DataFrame:
+    return graph_features(spark, d, graph_pairs(spark, d)).select("a", "b", *_SET_NAMES)
+
+
+@query(f"""WITH {_DESCRIPTORS}, mp AS (SELECT DISTINCT drug_a_pubchem_cid AS a, drug_b_pubchem_cid AS b FROM ddinter_severity_dataset WHERE drug_a_pubchem_cid IS NOT NULL AND drug_b_pubchem_cid IS NOT NULL), {_molecular_features("mp", "mf")}
+SELECT a, b, {", ".join(MOLECULAR_FEATURES)} FROM mf""")
 def pair_molecular(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptors come from a table, since nothing here computes them from structures."""
-    w = table(spark, d, "pubchem_compounds").select(F.col("cid").alias("compound"), F.when(~F.isnan("molecular_weight"), F.col("molecular_weight")).alias("molecular_weight"))
     p = severity(spark, d).select(F.col("drug_a_pubchem_cid").alias("a"), F.col("drug_b_pubchem_cid").alias("b")).filter("a is not null and b is not null").distinct()
-    return X.pair_scalars(p, w, ["molecular_weight"])
+    return X.molecular_pair_features(p, descriptors(spark, d)).select("a", "b", *MOLECULAR_FEATURES)
 
 
-@query(f"""{_CF} SELECT row_id, lower(ddi_severity) AS label, {_cover("x.compound IS NOT NULL", "y.compound IS NOT NULL", "mapped")} AS coverage, (x.degree + y.degree) / 2.0 AS degree_mean, CAST(abs(x.gene - y.gene) AS DOUBLE) AS gene_abs_difference
-FROM ddinter_severity_dataset s LEFT JOIN cf x ON x.compound = s.drug_a_hetionet_id LEFT JOIN cf y ON y.compound = s.drug_b_hetionet_id WHERE lower(ddi_severity) IN ('major', 'moderate', 'minor')""")
+_NEAR_ALONE = _CF.split(f"WITH {S.SQL}, ", 1)[1]
+_SUPERVISED = f"""{_DEDUP}, drugs AS (SELECT id, min(name) AS name FROM (SELECT id_a AS id, name_a AS name FROM pairs UNION ALL SELECT id_b, name_b FROM pairs) GROUP BY id), {_MAPPED.split(f"{_DRUGS}, ", 1)[1]}, {_ST}, {_NEAR_ALONE}, {_FAM}, {_DESCRIPTORS},
+known AS (SELECT g.pair_id, split_part(g.pair_id, '|', 1) AS ia, split_part(g.pair_id, '|', 2) AS ib, f.name_a, f.name_b, upper(left(g.level, 1)) || substr(g.level, 2) AS severity, g.source_files, g.categories FROM g JOIN f ON f.pair_id = g.pair_id WHERE k = 1 AND g.level <> 'unknown'),
+full_ AS (SELECT n.*, a.compound AS ha, b.compound AS hb, a.status AS sa, b.status AS sb, x.cid AS ca, y.cid AS cb, x.found AS fa, y.found AS fb, CASE WHEN x.smiles IS NOT NULL THEN x.cid END AS ma, CASE WHEN y.smiles IS NOT NULL THEN y.cid END AS mb
+  FROM known n LEFT JOIN mapped a ON a.id = ia LEFT JOIN mapped b ON b.id = ib LEFT JOIN st x ON x.id = ia LEFT JOIN st y ON y.id = ib),
+pp AS (SELECT DISTINCT ha AS a, hb AS b FROM full_), mp AS (SELECT DISTINCT ma AS a, mb AS b FROM full_), {_graph_features("pp", "gf")}, {_molecular_features("mp", "mf")}
+SELECT pair_id, ia AS drug_a_ddinter_id, name_a AS drug_a_name, ib AS drug_b_ddinter_id, name_b AS drug_b_name, severity AS source_severity, source_files AS source_file, categories AS atc_category, 'pairs' AS source_dataset, '1' AS dataset_version,
+  ha AS drug_a_hetionet_id, hb AS drug_b_hetionet_id, sa AS drug_a_mapping_status, sb AS drug_b_mapping_status, {_cover("coalesce(sa = 'exact_name', false)", "coalesce(sb = 'exact_name', false)", "mapped")} AS pair_mapping_coverage,
+  ca AS drug_a_pubchem_cid, cb AS drug_b_pubchem_cid, fa AS drug_a_pubchem_status, fb AS drug_b_pubchem_status, {_one_sided("coalesce(fa = 'exact_unique', false)", "coalesce(fb = 'exact_unique', false)")} AS pair_structure_coverage,
+  {", ".join(GRAPH_FEATURES + MOLECULAR_FEATURES)}, severity AS ddi_severity FROM full_ LEFT JOIN gf ON gf.a IS NOT DISTINCT FROM ha AND gf.b IS NOT DISTINCT FROM hb LEFT JOIN mf ON mf.a IS NOT DISTINCT FROM ma AND mf.b IS NOT DISTINCT FROM mb"""
+
+
+@query(_SUPERVISED)
 def supervised_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled rows with features that are null unless both sides are in the graph."""
-    f = X.compound_features(S.all_edges(spark, d)).select("compound", "degree", "gene")
-    side = lambda s: f.select(F.col("compound").alias(f"drug_{s}_hetionet_id"), F.col("degree").alias(f"degree_{s}"), F.col("gene").alias(f"gene_{s}"))
-    rows = severity(spark, d).withColumn("label", F.lower("ddi_severity")).filter(F.col("label").isin("major", "moderate", "minor")).select("row_id", "label", "drug_a_hetionet_id", "drug_b_hetionet_id")
-    got = rows.join(side("a"), "drug_a_hetionet_id", "left").join(side("b"), "drug_b_hetionet_id", "left")
-    return got.select("row_id", "label", P.coverage_class(F.col("degree_a").isNotNull(), F.col("degree_b").isNotNull(), "mapped").alias("coverage"), ((F.col("degree_a") + F.col("degree_b")) / 2).alias("degree_mean"), F.abs(F.col("gene_a") - F.col("gene_b")).cast("double").alias("gene_abs_difference"))
+    """Labelled pairs with their metadata, all features and the label, in the stored order of columns."""
+    scratch = Scratch(spark)
+    p = scratch.keep(pairs(spark, d))
+    known = P.deduplicated(p).filter("level <> 'unknown'").select("pair_id", F.split_part("pair_id", F.lit("|"), F.lit(1)).alias("id_a"), F.split_part("pair_id", F.lit("|"), F.lit(2)).alias("id_b"), "name_a", "name_b", F.initcap("level").alias("severity"), "source_files", "categories")
+    names = P.map_names(P.drug_dimension(p), S.nodes(spark, d).filter("kind = 'compound'"))
+    st = P.latest_structures(table(spark, d, "ddinter_pubchem_mapping")).withColumn("m", F.when(F.col("smiles").isNotNull(), F.col("cid")))
+    sides = scratch.keep(names.join(st, "id", "full").select("id", F.struct("compound", "status", "cid", "found", "m").alias("of")))
+    rows = scratch.keep(P.two_sided(known, sides, "id", "of"))
+    g = graph_features(spark, d, rows.select(F.col("of_a.compound").alias("a"), F.col("of_b.compound").alias("b")).distinct())
+    m = X.molecular_pair_features(rows.select(F.col("of_a.m").alias("a"), F.col("of_b.m").alias("b")).distinct(), descriptors(spark, d))
+    full = X.with_pair_features(X.with_pair_features(rows, ("of_a.compound", "of_b.compound"), g), ("of_a.m", "of_b.m"), m)
+    is_ = lambda s, field, value: F.coalesce(F.col(f"of_{s}.{field}") == value, F.lit(False))
+    columns = {
+        "drug_a_ddinter_id": "id_a", "drug_a_name": "name_a", "drug_b_ddinter_id": "id_b", "drug_b_name": "name_b", "source_severity": "severity", "source_file": "source_files", "atc_category": "categories",
+        "source_dataset": F.lit("pairs"), "dataset_version": F.lit("1"), "ddi_severity": "severity",
+        "pair_mapping_coverage": P.coverage_class(is_("a", "status", "exact_name"), is_("b", "status", "exact_name"), "mapped"), "pair_structure_coverage": P.one_sided_class(is_("a", "found", "exact_unique"), is_("b", "found", "exact_unique"), "structured"),
+    } | {f"drug_{s}_{k}": f"of_{s}.{v}" for s in "ab" for k, v in (("hetionet_id", "compound"), ("mapping_status", "status"), ("pubchem_cid", "cid"), ("pubchem_status", "found"))}
+    column = lambda c: c if not isinstance(c, str) else F.col(c)
+    return full.select(*[column(columns.get(c, c)).alias(c) for c in [*METADATA, *FEATURES, "ddi_severity"]])
 
 
 _NUM = ["molecular_weight_mean", "logp_mean", "tpsa_mean", "side_effect_jaccard", "gene_union_count"]
@@ -264,8 +352,6 @@ _LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN isnan({c})
 count(DISTINCT v) AS unique_values, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, max(v) AS max FROM {_LONG} GROUP BY feature""")
 def feature_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The profile of every feature over all loads, from one histogram of values."""
-    from corvane.session import Scratch
-
     df = severity(spark, d).withColumn("all", F.lit(1))
     h = Scratch(spark).keep(R.value_histogram(df, "all", FEATURES).select("k", "num", "n"))
     n, v = F.col("n"), F.col("num")
@@ -290,17 +376,30 @@ def near_constant(spark: SparkSession, d: str) -> DataFrame:
     return p.filter("unique_values <= 1 or zero_pct >= 99.5").select("feature")
 
 
-@query(f"""{_MAPPED}, {_LATEST}, st AS (SELECT DISTINCT {_bare("ddinter_id")} AS id FROM ddinter_pubchem_mapping), p AS (SELECT DISTINCT id_a, id_b, pair_id FROM pairs)
-SELECT pair_id, CASE WHEN id_a = id_b THEN 'unsupported_pair' WHEN a.compound IS NULL OR b.compound IS NULL THEN 'missing_drug_mapping' WHEN x.id IS NULL OR y.id IS NULL THEN 'missing_feature_source' END AS reason
-FROM p LEFT JOIN mapped a ON a.id = id_a LEFT JOIN mapped b ON b.id = id_b LEFT JOIN st x ON x.id = id_a LEFT JOIN st y ON y.id = id_b""")
-def pair_feature_runtime(spark: SparkSession, d: str) -> DataFrame:
-    """Whether features can be built for a pair, and why not; failures are rows, not errors."""
-    from corvane.functions.text import bare
+_RUNTIME = f"""{_MAPPED}, {_ST}, {_NEAR_ALONE}, {_FAM}, {_DESCRIPTORS}, bridge AS (SELECT compound, max(id) AS id FROM mapped WHERE status = 'exact_name' GROUP BY compound), {_PP},
+asked AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM pp UNION SELECT a, a FROM pp),
+req AS (SELECT q.a, q.b, CASE WHEN q.a = q.b THEN 'unsupported_pair' WHEN x.id IS NULL OR y.id IS NULL THEN 'missing_drug_mapping' WHEN u.id IS NULL OR v.id IS NULL THEN 'missing_feature_source' END AS reason, CASE WHEN u.smiles IS NOT NULL THEN u.cid END AS ma, CASE WHEN v.smiles IS NOT NULL THEN v.cid END AS mb
+  FROM asked q LEFT JOIN bridge x ON x.compound = q.a LEFT JOIN bridge y ON y.compound = q.b LEFT JOIN st u ON u.id = x.id LEFT JOIN st v ON v.id = y.id),
+gp AS (SELECT a, b FROM req WHERE reason IS NULL), mp AS (SELECT DISTINCT ma AS a, mb AS b FROM req WHERE reason IS NULL), {_graph_features("gp", "gf")}, {_molecular_features("mp", "mf")}
+SELECT req.a AS drug_a, req.b AS drug_b, reason, {", ".join(f"CASE WHEN reason IS NULL THEN {c} END AS {c}" for c in GRAPH_FEATURES + MOLECULAR_FEATURES)} FROM req LEFT JOIN gf ON gf.a = req.a AND gf.b = req.b AND reason IS NULL LEFT JOIN mf ON mf.a IS NOT DISTINCT FROM ma AND mf.b IS NOT DISTINCT FROM mb AND reason IS NULL"""
 
-    st = table(spark, d, "ddinter_pubchem_mapping").select(bare("ddinter_id").alias("id")).distinct().withColumn("has", F.lit(True))
-    p = P.two_sided(P.two_sided(pairs(spark, d).select("id_a", "id_b", "pair_id").distinct(), mapped(spark, d), "id", "compound"), st, "id", "has")
-    why = F.when(F.col("id_a") == F.col("id_b"), "unsupported_pair").when(F.col("compound_a").isNull() | F.col("compound_b").isNull(), "missing_drug_mapping").when(F.col("has_a").isNull() | F.col("has_b").isNull(), "missing_feature_source")
-    return p.select("pair_id", why.alias("reason"))
+
+@query(_RUNTIME)
+def pair_feature_runtime(spark: SparkSession, d: str) -> DataFrame:
+    """The features of requested pairs of compounds in order of their ids, or why they can't be built; failures are rows, not errors."""
+    p = graph_pairs(spark, d)
+    asked = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(p.select("a", F.col("a").alias("b"))).distinct()
+    bridge = mapped(spark, d).filter("status = 'exact_name'").groupBy("compound").agg(F.max("id").alias("id"))
+    st = P.latest_structures(table(spark, d, "ddinter_pubchem_mapping")).select("id", F.lit(True).alias("has"), F.when(F.col("smiles").isNotNull(), F.col("cid")).alias("m"))
+    known = bridge.join(st, "id", "left")
+    of = lambda s: known.select(F.col("compound").alias(s), F.struct("id", "has", "m").alias(f"of_{s}"))
+    why = F.when(F.col("a") == F.col("b"), "unsupported_pair").when(F.col("of_a").isNull() | F.col("of_b").isNull(), "missing_drug_mapping").when(F.col("of_a.has").isNull() | F.col("of_b.has").isNull(), "missing_feature_source")
+    rows = Scratch(spark).keep(asked.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", why.alias("reason"), F.col("of_a.m").alias("ma"), F.col("of_b.m").alias("mb")))
+    good = rows.filter("reason is null")
+    g = graph_features(spark, d, good.select("a", "b"))
+    m = X.molecular_pair_features(good.select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct(), descriptors(spark, d))
+    full = X.with_pair_features(good.join(g, ["a", "b"]), ("ma", "mb"), m)
+    return full.unionByName(rows.filter("reason is not null"), allowMissingColumns=True).select(F.col("a").alias("drug_a"), F.col("b").alias("drug_b"), "reason", *FEATURES)
 
 
 @query(f"""WITH {S.SQL}, pos AS (SELECT DISTINCT source AS c, target AS t FROM edges WHERE metaedge = 'ctd' AND target IN (SELECT id FROM nodes WHERE kind = 'disease') AND source IN (SELECT id FROM nodes WHERE kind = 'compound')),
@@ -511,8 +610,7 @@ def q_contract(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GONE = lambda c: f"({c} IS NULL OR isnan({c}))"
-_GRAPH = [c for c in FEATURES if c.startswith("graph_")]
-_STRUCT = ["molecular_weight_mean", "logp_mean", "tpsa_mean"]
+_GRAPH, _STRUCT = GRAPH_FEATURES[2:], MOLECULAR_FEATURES[2:]
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(CASE WHEN {_GONE(c)} = ({flag} = 1) THEN 1 END) AS violations FROM ddinter_severity_dataset WHERE {flag} IN (0, 1)" for flag, cols in (("both_hetionet_available", _GRAPH), ("both_structures_available", _STRUCT)) for c in cols))
@@ -524,13 +622,26 @@ def q_missingness(spark: SparkSession, d: str) -> DataFrame:
     return severity(spark, d).select(F.explode(F.array(*cells)).alias("x")).groupBy("x.feature").agg(F.count(F.when(F.col("x.bad"), 1)).alias("violations"))
 
 
-@query("SELECT 0 AS violations")
+_BACK = ", ".join(["a", "b", *GRAPH_FEATURES])
+
+
+@query(f"""{_GF}, rp AS (SELECT b AS a, a AS b FROM pp), {_graph_features("rp", "gr")}, back AS (SELECT b AS a, a AS b, {", ".join(GRAPH_FEATURES)} FROM gr),
+{_DESCRIPTORS}, mp AS (SELECT DISTINCT drug_a_pubchem_cid AS a, drug_b_pubchem_cid AS b FROM ddinter_severity_dataset WHERE drug_a_pubchem_cid IS NOT NULL AND drug_b_pubchem_cid IS NOT NULL), nm AS (SELECT b AS a, a AS b FROM mp), {_molecular_features("mp", "mf")}, {_molecular_features("nm", "mr")}
+SELECT 'graph' AS part, (SELECT count(*) FROM pp) AS pairs, count(*) AS violations FROM (SELECT {_BACK} FROM gf EXCEPT ALL SELECT {_BACK} FROM back)
+UNION ALL SELECT 'molecular', (SELECT count(*) FROM mp), count(*) FROM (SELECT a, b, {", ".join(MOLECULAR_FEATURES)} FROM mf EXCEPT ALL SELECT b, a, {", ".join(MOLECULAR_FEATURES)} FROM mr)""")
 def q_symmetry(spark: SparkSession, d: str) -> DataFrame:
-    """Pair features are the same in both side orders."""
-    f, p = X.compound_features(S.all_edges(spark, d)), graph_pairs(spark, d)
-    there, back = X.pair_scalars(p, f, _SC), X.pair_scalars(p.select(F.col("b").alias("a"), F.col("a").alias("b")), f, _SC)
-    back = back.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in there.columns if c not in ("a", "b")])
-    return there.exceptAll(back.select(there.columns)).agg(F.count(F.lit(1)).cast("int").alias("violations"))
+    """In how many of the pairs any feature differs if its sides are turned."""
+    turned = lambda p: p.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in p.columns if c not in ("a", "b")])
+    g = graph_pairs(spark, d)
+    m = severity(spark, d).select(F.col("drug_a_pubchem_cid").alias("a"), F.col("drug_b_pubchem_cid").alias("b")).filter("a is not null and b is not null").distinct()
+    made = {"graph": (g, lambda p: graph_features(spark, d, p)), "molecular": (m, lambda p: X.molecular_pair_features(p, descriptors(spark, d)))}
+    out = None
+    for name, (p, of) in made.items():
+        there, back = of(p), turned(of(turned(p)))
+        bad = there.exceptAll(back.select(there.columns)).agg(F.count(F.lit(1)).alias("violations"))
+        one = bad.crossJoin(p.agg(F.count(F.lit(1)).alias("pairs"))).select(F.lit(name).alias("part"), "pairs", "violations")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {_HELD}, s AS (SELECT pair_id, drug_a_ddinter_id IN (SELECT id FROM held) OR drug_b_ddinter_id IN (SELECT id FROM held) AS test FROM ddinter_severity_dataset) SELECT count(*) AS pairs_in_both FROM (SELECT pair_id FROM s GROUP BY pair_id HAVING count(DISTINCT test) > 1)")

@@ -13,7 +13,7 @@ from corvane.functions.names import normal_name
 from corvane.functions.ordered import rank_by_digest, running_sum
 from corvane.functions.text import bare, is_blank, mask, search_term, valid_drug_id
 from corvane.operators import candidates as C, features as X, graph as G, metrics as M, models as L, pairs as P
-from corvane.session import attach
+from corvane.session import Scratch, attach
 from corvane.sources import files, graph as S
 
 
@@ -115,6 +115,77 @@ def test_search_and_resolve(spark):
 EDGES = [("Compound::1", "cbg", "Gene::1"), ("Compound::2", "cbg", "Gene::1"), ("Compound::1", "crc", "Compound::2"), ("Compound::1", "cbg", "Gene::1"), ("Class::1", "pcic", "Compound::2"), ("Compound::1", "cug", "Gene::1"), ("Compound::1", "crc", "Compound::1")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_first_sets_and_counts_against_all_sets(spark, seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    rows = [(i + 1, f"c{rng.randrange(1000)}x{i}", rng.choice([1, 2, 4, 3, 7] if seed else [1, 2])) for i in range(22)]
+    df = spark.createDataFrame(rows, "pos long, drug string, mask long")
+    every = []
+    for k in (1, 2, 3):
+        for c in combinations(rows, k):
+            mask = c[0][2] | c[-1][2] | c[len(c) // 2][2]
+            every.append((-mask.bit_count(), k, "candidate-set:" + "+".join(x[1] for x in c)))
+    for n in (1, 7, 100, 5000):
+        got = [(-r["covered"], r["size"], r["set_id"]) for r in C.best_sets(C.first_sets(df, 3, n), n).collect()]
+        assert got == sorted(every)[:n]
+    counts = {}
+    for c, k, _ in every:
+        counts[k, -c] = counts.get((k, -c), 0) + 1
+    assert {(r["size"], r["covered"]): r["sets"] for r in C.set_counts(df, 3).collect()} == counts
+
+
+def test_sets_of_nothing(spark):
+    df = spark.createDataFrame([], "pos long, drug string, mask long")
+    assert C.first_sets(df, 3).count() == 0 and C.set_counts(df, 3).count() == 0 and C.cover_by_classes(df, 3) == []
+
+
+def test_cover_by_classes_is_the_greedy_cover(spark):
+    rng = random.Random(4)
+    rows = [(i + 1, f"c{i}", rng.randrange(1, 64)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos long, drug string, mask long")
+    plain = C.greedy_cover([(d, {f"{i}" for i in range(6) if m >> i & 1}) for _, d, m in rows], [f"{i}" for i in range(6)], least=1.0)
+    assert C.cover_by_classes(df, 6, least=1.0) == plain
+
+
+def test_pages_are_clamped(spark):
+    df = spark.range(1, 13).select(F.col("id").cast("int").alias("rank"))
+    of = lambda k: sorted(r["rank"] for r in C.page(df, k).collect())
+    assert (of(2), of(99), of(-1)) == ([6, 7, 8, 9, 10], [11, 12], [1, 2, 3, 4, 5]) and C.page(df.limit(0), 1).count() == 0
+
+
+def test_settings_have_defaults_and_limits():
+    assert C.settings() == {"max_drugs": 3, "max_sets": 100, "coverage": 0.8}
+    assert C.settings(0, -5, 7) == {"max_drugs": 1, "max_sets": 1, "coverage": 1.0} and C.settings(True, "x", float("nan"))["coverage"] == 0.8
+
+
+def test_rankings_are_compared(spark):
+    a, b = (spark.createDataFrame(x, "set_id string, rank int") for x in ([("a", 1), ("b", 2), ("c", 3)], [("a", 1), ("c", 2), ("d", 3)]))
+    assert {r["set_id"]: r["change"] for r in C.compare_rankings(a, b).collect()} == {"a": "same", "b": "removed", "c": "moved", "d": "added"}
+
+
+def test_unexpected_levels_are_refused(spark):
+    df = spark.createDataFrame([("Major",), (" ",), (None,), ("Severe",)], "Level string")
+    with pytest.raises(ValueError, match="severe"):
+        P.require_levels(df)
+    assert P.require_levels(df.filter("Level <> 'Severe'")).count() == 2
+
+
+def test_mapping_is_validated(spark):
+    df = spark.createDataFrame([("D1", "Exact_unique", None, "C", None), ("", "unmapped", None, None, None)], "ddinter_id string, mapping_status string, pubchem_cid long, smiles string, inchikey string")
+    got = {r["check_name"]: r["violations"] for r in P.validate_mapping(df).collect()}
+    assert got == {"accepted_without_cid": 1, "accepted_without_structure": 0, "accepted_without_key": 1, "blank_id": 1}
+    with pytest.raises(ValueError, match="smiles"):
+        P.validate_mapping(df.drop("smiles"))
+
+
+def test_compatibility_forms_and_full_folding_are_mapped(spark):
+    drugs = spark.createDataFrame([("d1", "Stra\u00dfen\u00a0Mix"), ("d2", "\uff21lpha")], "id string, name string")
+    nodes = spark.createDataFrame([("c1", "strassen mix"), ("c2", "alpha")], "id string, name string")
+    assert {r["id"]: r["compound"] for r in P.map_names(drugs, nodes).collect()} == {"d1": "c1", "d2": "c2"}
+
+
 def test_compound_features(spark):
     e = spark.createDataFrame(EDGES, "source string, metaedge string, target string")
     got = {r["compound"]: r for r in X.compound_features(e).collect()}
@@ -122,10 +193,14 @@ def test_compound_features(spark):
     assert (one["degree"], one["bound_gene"], one["gene"], one["resemblance"]) == (5, 1, 1, 2)  # a loop counts once, a repeated row twice
     assert (two["degree"], two["pharmacologic_class"], two["resemblance"]) == (3, 1, 1)
     p = spark.createDataFrame([("Compound::1", "Compound::2"), ("Compound::2", "Compound::9")], "a string, b string")
-    s = {r["b"]: r for r in X.pair_sets(p, X.neighbours(e, "bound_gene")).collect()}
-    assert s["Compound::2"]["jaccard"] == 1.0 and s["Compound::9"]["jaccard"] == 0.0
-    m = {r["b"]: r for r in X.pair_scalars(p, X.compound_features(e), ["degree"]).collect()}
-    assert m["Compound::2"]["degree_mean"] == 4.0 and m["Compound::9"]["degree_mean"] is None
+    p = p.unionByName(spark.createDataFrame([(None, "Compound::1"), (None, None)], "a string, b string"))
+    m = {(r["a"], r["b"]): r for r in X.graph_pair_features(p, e, Scratch(spark)).collect()}
+    both, one, none = m["Compound::1", "Compound::2"], m["Compound::2", "Compound::9"], m[None, None]
+    assert (both["bound_gene_jaccard"], both["gene_union_count"], both["side_effect_jaccard"], both["graph_graph_degree_mean"]) == (1.0, 1.0, 0.0, 4.0)
+    assert (both["hetionet_available_count"], one["hetionet_available_count"], m[None, "Compound::1"]["hetionet_available_count"], none["hetionet_available_count"]) == (2, 1, 1, 0)
+    assert one["bound_gene_jaccard"] is None and one["graph_graph_degree_mean"] is None and one["both_hetionet_available"] == 0
+    joined = X.with_pair_features(p.withColumn("x", F.lit(1)), ("a", "b"), X.graph_pair_features(p, e, Scratch(spark)))
+    assert joined.count() == 4 and joined.filter("hetionet_available_count is null").count() == 0
 
 
 def test_exact_quantiles(spark):
