@@ -7,7 +7,8 @@ from `words` on). Documents are cut into windows of every length that an item ha
 Each window gets a 64-bit SimHash of its words. Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
 radius r differ in at most r // 4 bits in one block, so the index holds each block of an item's window with up to r // 4 bits flipped
 and meets every fingerprint within the radius, each pair in the first such block only. Pairs within the radius are verified on
-their five-word shingles, weighted by their counts.
+their five-word shingles, weighted by their counts. Windows that are alike in this sense have more than a passage's words in a row in
+common, so that those of an item's own size are looked for in texts with a passage only.
 
 The items are a stated query set: their windows go in blocks of at most BLOCK to every task, one pass over the documents for
 each block, and nothing of the documents is shuffled. Words are the longest runs of letters and digits, in lower case. Texts are
@@ -18,6 +19,8 @@ A passage that occurs twice in a document counts once.
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -132,18 +135,18 @@ class Index:
             key = ((self.fp >> np.uint64(16 * b)) & np.uint64(0xFFFF))[:, None] ^ flips
             order = np.argsort(key.ravel(), kind="stable")
             first = np.searchsorted(key.ravel()[order], np.arange((1 << 16) + 1, dtype=np.uint64))
-            self.blocks.append((first.astype(np.int64), (order // len(flips)).astype(np.int32)))
+            self.blocks.append((np.diff(first) > 0, first.astype(np.int64), (order // len(flips)).astype(np.int32)))
 
     def meet(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in fp, windows) of all pairs within the radius, each once."""
         at, who = [], []
-        for b, (first, windows) in enumerate(self.blocks):
-            key = ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+        for b, (held, first, windows) in enumerate(self.blocks):
+            key = fp.view(np.uint16)[b::4] if sys.byteorder == "little" else (fp >> np.uint64(16 * b)).astype(np.uint16)
+            some = np.flatnonzero(held[key])
+            key = key[some].astype(np.int64)
             begin, n = first[key], first[key + 1] - first[key]
-            some = np.flatnonzero(n)
-            n = n[some]
             pos = np.repeat(some, n)
-            win = windows[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            win = windows[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
             x = fp[pos] ^ self.fp[win]
             ok = np.bitwise_count(x) <= self.radius
             pos, win, x = pos[ok], win[ok], x[ok]
@@ -163,38 +166,75 @@ class Index:
         return common / (sum(mine.values()) + sum(theirs.values()) - common)
 
 
-def in_documents(documents: DataFrame, block: list, radius: tuple[int, int], alike: float) -> DataFrame:
-    """The windows of documents that are alike a window of the block."""
+def common_run(n: int, alike: float) -> int:
+    """How many words in a row two windows of n words have in common at least, if they are that alike.
+
+    So many shingles may differ on either side; where what they share breaks off inside a window, SHINGLE - 1 of them do.
+    """
+    differ = int((n - SHINGLE + 1) * (1 - alike) / (1 + alike) + 1e-9)
+    return (n - differ) // (1 + differ // (SHINGLE - 1)) if n > SHINGLE else n
+
+
+_BUILT: dict[str, dict] = {}  # a worker's index of the latest block
+
+
+def in_documents(documents: DataFrame, block: list, words: int, radius: tuple[int, int], alike: float) -> DataFrame:
+    """The windows of documents that are alike a window of the block.
+
+    Windows of an item's own size are looked for in texts with a passage of the block only, where being alike implies one.
+    """
     groups: dict[tuple[int, bool], list] = {}
     for r in block:
         groups.setdefault((r["n"], r["passage"]), []).append(r.asDict())
-    sent = documents.sparkSession.sparkContext.broadcast(groups)
+    sent, name = documents.sparkSession.sparkContext.broadcast(groups), uuid.uuid4().hex
+    # a block may hold an item's own window and not its passages
+    whole = {r["item_id"] for r in block if r["passage"]} >= {r["item_id"] for r in block if not r["passage"]}
+    later = {(n, p) for n, p in groups if not p and whole and n > words and common_run(n, alike) >= words}
+
+    def built() -> dict[tuple[int, bool], Index]:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = {k: Index(rows, radius[not k[1]]) for k, rows in sent.value.items()}
+        return _BUILT[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {k: Index(rows, radius[not k[1]]) for k, rows in sent.value.items()}
-        lengths = sorted({n for n, _ in index})
-        longest = lengths[-1]
-        step = max(STEP, 4 * longest)
+        index = built()
         for batch in batches:
             counts, codes, names = words_of(batch.column(1).to_pylist())
-            ids, ends = batch.column(0).to_numpy(zero_copy_only=False), np.cumsum(counts)
-            owner = np.repeat(np.arange(len(counts)), counts)
+            ids, owner = batch.column(0).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts)
             table = word_bits(names) if len(names) else np.zeros((0, 64), np.uint8)
             found: dict[tuple, tuple] = {}
-            for at in range(0, len(codes), step):
-                made = fingerprints(table, codes[at : at + step + longest - 1], lengths)
-                for (n, passage), ix in index.items():
-                    pos, win = ix.meet(made[n][:step])
-                    start = at + pos
-                    inside = start + n <= ends[owner[start]]
-                    for s, w in zip(start[inside].tolist(), win[inside].tolist()):
-                        own = names[codes[s : s + n]].tolist()
-                        same = own == ix.rows[w]["words"]
-                        alike_by = 1.0 if same else ix.similarity(w, own)
-                        if alike_by >= alike:
-                            key = (owner[s], n, passage, w)
-                            if key not in found or found[key] < (same, alike_by):
-                                found[key] = (same, alike_by)
+
+            def scan(codes: np.ndarray, owner: np.ndarray, ends: np.ndarray, keys: set[tuple[int, bool]]) -> np.ndarray:
+                """Which texts have windows within the radius; puts those that are alike into found."""
+                met = np.zeros(len(counts), bool)
+                lengths = sorted({n for n, _ in keys})
+                step = max(STEP, 4 * lengths[-1]) if lengths else 1
+                for at in range(0, len(codes) if lengths else 0, step):
+                    made = fingerprints(table, codes[at : at + step + lengths[-1] - 1], lengths)
+                    for n, passage in sorted(keys):
+                        ix = index[n, passage]
+                        pos, win = ix.meet(made[n][:step])
+                        start = at + pos
+                        inside = start + n <= ends[start]
+                        start, win = start[inside], win[inside]
+                        met[owner[start]] = True
+                        for s, w in zip(start.tolist(), win.tolist()):
+                            own = names[codes[s : s + n]].tolist()
+                            same = own == ix.rows[w]["words"]
+                            near = 1.0 if same else ix.similarity(w, own)
+                            if near >= alike:
+                                key = (owner[s], n, passage, w)
+                                if key not in found or found[key] < (same, near):
+                                    found[key] = (same, near)
+                return met
+
+            ends = np.repeat(np.cumsum(counts), counts)
+            met = scan(codes, owner, ends, set(index) - later)
+            use = met[owner]
+            if later and use.any():
+                some = np.where(met, counts, 0)
+                scan(codes[use], owner[use], np.repeat(np.cumsum(some), some), later)
             rows = [(ids[o], ix["item_id"], n, p, ix["start"], *v) for (o, n, p, w), v in found.items() for ix in [index[n, p].rows[w]]]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), LEAK)] if rows else [pa.array([], f.type) for f in LEAK], schema=LEAK)
 
@@ -213,5 +253,5 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 13, radius: tuple
     for row in index.toLocalIterator():  # a block at a time
         block.append(row)
         if len(block) == BLOCK:
-            found, block = found.unionByName(in_documents(texts, block, radius, alike)), []
-    return found.unionByName(in_documents(texts, block, radius, alike)) if block else found
+            found, block = found.unionByName(in_documents(texts, block, words, radius, alike)), []
+    return found.unionByName(in_documents(texts, block, words, radius, alike)) if block else found

@@ -114,6 +114,22 @@ def test_one_changed_word_is_found_at_own_size(spark):
     assert got.select("doc_id").distinct().count() >= 95
 
 
+def test_alike_windows_have_a_run_in_common():
+    rng = random.Random(3)
+    assert all(leaks.common_run(n, 0.8) >= 13 for n in range(20, 3000))
+    for _ in range(4000):
+        n = rng.choice([20, 30, 45, 68])
+        a = [f"w{i}" for i in range(n)]
+        b = [f"x{rng.random()}" if rng.random() < rng.choice([0.01, 0.03]) else w for w in a]
+        k = rng.choice([0, 0, rng.randrange(n)])
+        b = b[k:] + b[:k] if rng.random() < 0.5 else b[k // 9 :] + [f"y{i}" for i in range(k // 9)]
+        x, y = leaks.shingles(a), leaks.shingles(b)
+        common = sum((x & y).values())
+        if common / (2 * (n - 4) - common) >= 0.8:
+            runs = {tuple(a[i : i + 13]) for i in range(n - 12)}
+            assert any(tuple(b[i : i + 13]) in runs for i in range(n - 12))
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(i, f"one two three four word{i % 7}") for i in range(20)]
     docs = [(d, f"so one two three four word{d} end") for d in range(9)]
