@@ -7,7 +7,7 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corvane.functions.text import is_blank
 
@@ -48,7 +48,7 @@ def strict_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 def manifest(path: str) -> dict:
     m = json.loads(Path(path).read_text())
-    missing = {"dataset", "files"} - set(m)
+    missing = {"dataset", "download_page", "license", "retrieved_at", "files"} - set(m)
     if missing:
         raise ValueError(f"manifest lacks {sorted(missing)}")
     return m
@@ -62,6 +62,23 @@ def sha256_of(path: str, block: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
+def without_keys(value: object, keys: set[str]) -> object:
+    """A value of parsed JSON without some keys, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_keys(v, keys) for k, v in value.items() if k not in keys}
+    return [without_keys(v, keys) for v in value] if isinstance(value, list) else value
+
+
+def digest_id(prefix: str, content: object) -> str:
+    """prefix, a dash and 16 hex digits that stand for the content, whatever the order of its keys."""
+    return f"{prefix}-{hashlib.sha256(json.dumps(content, sort_keys=True, separators=(',', ':')).encode()).hexdigest()[:16]}"
+
+
+def number(c: Column | str) -> Column:
+    """A text as a number, null where it is none."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("double")
+
+
 def text_sha256(text: str) -> str:
     """A digest that doesn't depend on line ends."""
     return hashlib.sha256(text.replace("\r\n", "\n").encode()).hexdigest()

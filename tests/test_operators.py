@@ -165,6 +165,13 @@ def test_rankings_are_compared(spark):
     assert {r["set_id"]: r["change"] for r in C.compare_rankings(a, b).collect()} == {"a": "same", "b": "removed", "c": "moved", "d": "added"}
 
 
+def test_small_functions(spark):
+    assert files.without_keys({"a": 1, "b": [{"a": 2, "c": {"a": 3}}]}, {"a"}) == {"b": [{"c": {}}]} and files.without_keys(None, {"a"}) is None
+    assert files.digest_id("model", {"a": 1, "b": 2}) == files.digest_id("model", {"b": 2, "a": 1}) != files.digest_id("model", {"a": 1})
+    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("",)], "s string").select(files.number("s").alias("n"))
+    assert [r["n"] for r in df.collect()] == [1.5, None, None, None]
+
+
 def test_unexpected_levels_are_refused(spark):
     df = spark.createDataFrame([("Major",), (" ",), (None,), ("Severe",)], "Level string")
     with pytest.raises(ValueError, match="severe"):
@@ -258,10 +265,10 @@ def test_file_sources(spark, tmp_path):
     text = "DDInterID_A,Drug_A,DDInterID_B,Drug_B,Level\nDDInter1,A,DDInter2,B,Major\nDDInter1,,DDInter3,C,Minor\n"
     (tmp_path / "ddinter_downloads_code_B.csv").write_text(text)
     digest = hashlib.sha256(text.encode()).hexdigest()
-    (tmp_path / "m.json").write_text(json.dumps({"dataset": "x", "files": {"ddinter_downloads_code_B.csv": digest}}))
+    (tmp_path / "m.json").write_text(json.dumps({"dataset": "x", "download_page": "p", "license": "l", "retrieved_at": "t", "files": {"ddinter_downloads_code_B.csv": digest}}))
     good, bad = files.pair_files(spark, str(tmp_path), str(tmp_path / "m.json"))
     assert good.count() == 1 and bad.count() == 1 and good.first()["atc_category"] == "B"
-    (tmp_path / "m.json").write_text(json.dumps({"dataset": "x", "files": {"ddinter_downloads_code_B.csv": "0"}}))
+    (tmp_path / "m.json").write_text(json.dumps({"dataset": "x", "download_page": "p", "license": "l", "retrieved_at": "t", "files": {"ddinter_downloads_code_B.csv": "0"}}))
     with pytest.raises(ValueError):
         files.pair_files(spark, str(tmp_path), str(tmp_path / "m.json"))
     (tmp_path / "m.json").write_text("{}")
