@@ -244,9 +244,11 @@ def heavy_pairs(long: DataFrame, heavy: DataFrame, t: float, scratch: Scratch) -
     return n.filter(j >= t).select("source_a", "source_b", j.alias("jaccard"))
 
 
-def larger(long: DataFrame, least: int) -> DataFrame:
+def larger(long: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(source, size): the sets of `least` or more distinct values. Only sources of as many rows have these counted."""
-    rows = long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least)
+    rows = scratch.keep(long.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least))
+    if rows.isEmpty():
+        return rows.select("source", F.col("rows").alias("size"))
     return long.join(rows.select("source"), "source", "left_semi").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
 
 
@@ -260,7 +262,7 @@ def value_sets(rows: DataFrame, source: str, values: list[str], scratch: Scratch
             break
     total = counts.agg(F.sum("n")).first()[0] or 0
     long, counts = long.select("source", "h"), counts.select("h", "n")
-    large = larger(long, heavy + 1)
+    large = larger(long, heavy + 1, scratch)
     most = None
     light = long
     if not large.isEmpty():
@@ -311,7 +313,7 @@ def similar_sets(rows: DataFrame, source: str, values: list[str], t: float, fill
         # partners of large sets: all that are as large as t times the smallest of these; of light classes only the first
         own = long.join(large.select("source"), "source", "left_semi").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size"))
         least = own.agg(F.min("size")).first()[0]
-        near = larger(long, math.floor(t * least))
+        near = larger(long, math.floor(t * least), scratch)
         near = keep(near.join(classed.filter("source <> class_source").select("source"), "source", "left_anti"))
         pairs = pairs.unionByName(heavy_pairs(long, near, t, scratch)).distinct()
         members = members.unionByName(large.select("source", F.col("source").alias("class_source"), F.lit(1).cast("bigint").alias("copies")))
